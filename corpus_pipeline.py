@@ -5,26 +5,66 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from treeparity.llm.decontaminate import remove_hits
+from treeparity.llm.language import identify_language
+from treeparity.llm.mixing import mix_sources, mixed_rows
 from treeparity.llm.near_dedup import near_duplicates
+from treeparity.llm.sharding import hilbert_shards
 from treeparity.scratch import Scratch
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in none of the learned languages go: those without text or without a letter."""
+    return identify_language(spark, docs).where("lang_pred <> 'und'").select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that with the smallest doc_id."""
-    kept = near_duplicates(spark, docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = near_duplicates(spark, docs).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    kept = Scratch(spark, "kept").table(kept, "ids")
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
+    if not kept.where("_n > 1").isEmpty():  # rows that share an id
+        by_id = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+        left = left.withColumn("_r", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(by_id))).where("_r = 1")
+    return left.select(*[docs[c] for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return remove_hits(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come to their target weights; a document that is taken twice is two rows."""
+    return mixed_rows(mix_sources(docs)).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with size, text_crc32, shard and slot."""
+    return hilbert_shards(spark, docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("near-dedup", near_dedup)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language_id),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
 
-#: No SQL can express these stages; tests hold the pipeline against a brute-force version.
+#: SQL cannot express these stages; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if i:
+            scratch.drop(STAGES[i - 1][0])
     return docs

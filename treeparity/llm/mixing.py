@@ -77,12 +77,11 @@ def _take(rows: DataFrame, sizes: DataFrame, own: list[str], id_col: str, epochs
 
 def mixed_rows(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """The mix itself: each document as often as it is taken whole, and the cut one with the first words only."""
-    whole = mixed.where("size > 0 and taken >= size").withColumn("_n", F.explode(F.expr("sequence(1, cast(taken div size as int))"))).drop("_n")
     pieces = rf"split({text_col}, '(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])')"  # a word and the white space after it each
     lead = rf"if({text_col} rlike '^[\\x20\\x09-\\x0D]', 1, 0)"
     head = F.expr(f"array_join(slice({pieces}, 1, cast(taken % size as int) + {lead}), '')")
-    cut = mixed.where("size > 0 and taken % size > 0").withColumn(text_col, head)
-    return whole.unionByName(cut)
+    copies = mixed.where("size > 0 and taken > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, (taken + size - 1) div size)")))
+    return copies.withColumn(text_col, F.when(F.col("_copy") * F.col("size") > F.col("taken"), head).otherwise(F.col(text_col))).drop("_copy")
 
 
 def op4_query(docs: DataFrame) -> DataFrame:
