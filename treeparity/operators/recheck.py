@@ -32,8 +32,9 @@ def gone(sets: DataFrame, entries: DataFrame) -> DataFrame:
     return recheck_union(sets).join(entries.select("path"), "path", "left_anti")
 
 
-def run_state(sides: DataFrame) -> DataFrame:
+def run_state(sides: DataFrame, by: list[str] | None = None) -> DataFrame:
     """State of a previous run from one row a side (has_run, has_hashes, finished, differs)."""
-    facts = sides.agg(F.bool_or("has_run").alias("run"), F.bool_or("has_hashes").alias("hashes"), F.bool_and("finished").alias("finished"), F.bool_or("differs").alias("differs"))
-    state = F.when(~F.coalesce("run", F.lit(False)) & ~F.coalesce("hashes", F.lit(False)), "FRESH").when(~F.coalesce("finished", F.lit(False)), "INTERRUPTED")
-    return facts.select(state.when(F.col("differs"), "FINISHED_DIFF").otherwise("FINISHED_CLEAN").alias("state"))
+    facts = sides.groupBy(*(by or [])).agg(F.bool_or("has_run").alias("run"), F.bool_or("has_hashes").alias("hashes"), F.bool_and("finished").alias("finished"), F.bool_or("differs").alias("differs"))
+    fresh = ~F.coalesce("run", F.lit(False)) & ~F.coalesce("hashes", F.lit(False))
+    state = F.when(fresh, "FRESH").when(~F.coalesce("finished", F.lit(False)), "INTERRUPTED").when(F.col("differs"), "FINISHED_DIFF").otherwise("FINISHED_CLEAN")
+    return facts.select(*(by or []), state.alias("state"))
