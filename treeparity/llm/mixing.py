@@ -15,12 +15,18 @@ from pyspark.sql.window import Window
 #: Ranges of the key are told by so many of its hexadecimal digits: 4096 ranges of each source.
 RANGE_DIGITS = 3
 EPOCHS = 3
-WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = r"[\x20\x09-\x0D]"
 
 
 def n_words(text: str = "text") -> Column:
-    """Number of runs of anything but ASCII white space; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    """Number of runs of anything but ASCII white space; 0 for null.
+
+    Each run with the white space around it becomes one character, which are counted: no array of
+    a long text's words is made.
+    """
+    word = _SPACE.replace("[", "[^") + "+"
+    count = F.length(F.regexp_replace(text, f"{_SPACE}*{word}{_SPACE}*", "x"))
+    return F.when(F.col(text).rlike(_SPACE.replace("[", "[^")), count).otherwise(0).cast("long")
 
 
 def source_targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
