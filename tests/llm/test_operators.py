@@ -1,0 +1,316 @@
+import hashlib
+import os
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from treeparity.llm import decontaminate, fingerprints, html_text, language, licenses, mixing, registry, sharding, toxicity, url_filters, words
+
+DATA = "/root/testdata/sf0.001"
+HOSTILE = [(1, None, "a"), (2, "", "a"), (3, "  \n", None), (4, "é" * 5000 + " x " * 3000, "b"), (5, "same text here", "b"), (5, "same text here", "b"), (6, "same text here", None), (None, "no id", "c")]
+
+
+@pytest.fixture
+def hostile(spark):
+    return spark.createDataFrame(HOSTILE, "doc_id long, text string, source string").withColumns({"size": F.lit("clash"), "score": F.lit("clash"), "shard": F.lit("x"), "fingerprint": F.lit("y"), "n_words": F.lit("z"), "lang": F.lit("en")})
+
+
+def none_of(df):
+    return df.where("false")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+@pytest.mark.parametrize("name", list(registry.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    c = duckdb.connect()
+    for f in os.listdir(DATA):
+        c.sql(f"create view {f[:-8]} as select * from '{DATA}/{f}'")
+    got, want = registry.queries()[name](spark, DATA), c.sql(registry.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    plain = lambda v: round(v, 9) if isinstance(v, float) else v
+    a = sorted(repr([plain(r[k]) for k in want.columns]) for r in got.collect())
+    assert a == sorted(repr([plain(v) for v in r]) for r in want.fetchall())
+
+
+# 2: URL filters.
+
+
+def test_url_filter_as_of(spark):
+    entries = spark.createDataFrame(
+        [("bad.com", "l", "block", "2024-01-10"), ("bad.com", "l", "remove", "2024-02-01"), ("bad.com", "l", "block", "2024-03-01"), ("ok.bad.com", "l", "allow", "2024-01-01"), ("twice.com", "l", "remove", "2024-01-05"), ("twice.com", "l", "block", "2024-01-05"), (None, "l", "block", "2024-01-01"), ("x.com", "l", "block", None)],
+        "domain string, list string, action string, listed_on string",
+    ).withColumn("listed_on", F.col("listed_on").cast("date"))
+    asked = {("http://bad.com/a", "2024-01-09"): False, ("http://bad.com/a", "2024-01-10"): True, ("https://u:p@WWW.Bad.com:80/a", "2024-01-31"): True, ("http://bad.com", "2024-02-01"): False, ("http://bad.com", "2024-12-01"): True, ("http://ok.bad.com/", "2024-01-15"): False, ("http://notbad.com/", "2024-01-15"): False, ("http://twice.com/", "2024-01-05"): False, ("bad.com", "2024-01-15"): False, (None, "2024-01-15"): False, ("http://bad.com/", None): False, ("http://x.com", "2024-01-15"): False}
+    df = spark.createDataFrame([(u, d) for u, d in asked] * 2, "url string, fetched_on string").withColumn("fetched_on", F.col("fetched_on").cast("date")).withColumn("blocked", F.lit("clash"))
+    got = url_filters.filter_urls(df, entries).collect()
+    assert len(got) == 2 * len(asked)
+    for r in got:
+        assert r["blocked"] == asked[r["url"], str(r["fetched_on"]) if r["fetched_on"] else None], r
+    assert none_of(url_filters.filter_urls(none_of(df), entries)).count() == 0
+    assert not url_filters.filter_urls(df, none_of(entries)).where("blocked").count()
+
+
+# 3: toxicity.
+
+
+def test_folding():
+    assert toxicity.fold("1D10T, ідіοt! ＩＤＩＯＴ i​d́iot l0ser p@th3t!c x$$$".encode()).split() == ["idiot", "idiot", "idiot", "idiot", "ioser", "pathetic", "x"]
+    assert toxicity.fold(b"") == " " and toxicity.fold(b"...") == " "
+
+
+def test_lexicon_counts_and_exceptions():
+    lexicon = toxicity.Lexicon({" trash ": 2.0, " mor": 1.0, " moron ": 3.0}, [" trash can "])
+    assert lexicon.features(toxicity.fold(b"trash moron, trash can morons trashy")) == (2.0 + 3.0 + 1.0, 3, 6)
+    assert toxicity.Lexicon({}, []).features(" a b ") == (0.0, 0, 2)
+
+
+def test_toxicity_learns_and_holds_out(spark):
+    r = random.Random(2)
+    plain = [f"w{i}" for i in range(300)]
+    docs, labels = [], []
+    for i in range(600):
+        w = [r.choice(plain) for _ in range(60)]
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(4):
+                w[r.randrange(60)] = r.choice(["stupid", "MORON!", "id1ot", "vermilionx", "vermilionq"])
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+    docs += [(9001, None), (9002, ""), (9003, "ＳＴＵＰＩＤ ѕtupid mor0n")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x["doc_id"]: x for x in toxicity.op3_query(spark, d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert len(got) == len(docs)
+    for i, _, y in labels:
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and got[i]["predicted"] == y
+    assert got[9003]["predicted"] == 1 and got[9001]["score"] == got[9002]["score"] < 0.5
+
+
+def test_toxicity_without_labels(spark, hostile):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(spark, hostile, none)
+    got = toxicity.score_toxicity(hostile, model).collect()
+    assert len(got) == len(HOSTILE) and all(0 <= r["score"] <= 1 for r in got)
+
+
+# 4: mixing.
+
+
+def test_mixing_meets_its_targets(spark, hostile):
+    r = random.Random(1)
+    rows = [(i, r.choice(["a"] * 8 + ["b", "c", None]), " ".join(["w"] * r.randrange(0, 40))) for i in range(800)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    total = sum(x["size"] for x in got)
+    by = {}
+    for x in got:
+        s = by.setdefault(x["source"], [0, x["source_size"], x["target"], 0])
+        s[0] += x["taken"]
+        s[3] += x["size"]
+        assert 0 <= x["taken"] <= 3 * x["size"]
+    assert abs(sum(v[2] for v in by.values()) - total) < 1e-6
+    for taken, size, target, sizes in by.values():
+        assert size == sizes and target <= 3 * size + 1e-9 and taken == round(target)
+    want, left, weights = {}, float(total), dict(zip(sorted(k for k in by if k) + [None], [1, 2, 3, 1], strict=True))
+    while True:  # the excess shared again until none is above
+        free = {k: w for k, w in weights.items() if k not in want}
+        level = left / sum(free.values()) if free else 0
+        over = [k for k, w in free.items() if w * level >= 3 * by[k][1]]
+        if not over:
+            break
+        for k in over:
+            want[k] = 3.0 * by[k][1]
+            left -= want[k]
+    for k, v in by.items():
+        assert abs(v[2] - want.get(k, weights[k] * level)) < 1e-6
+    again = mixing.mix_sources(hostile)
+    assert again.count() == len(HOSTILE) and sum(x["taken"] for x in again.collect()) > 0
+    assert none_of(hostile).transform(mixing.mix_sources).count() == 0
+    assert mixing.mix_sources(hostile.where("doc_id < 3")).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_mixed_rows_have_the_words(spark):
+    df = spark.createDataFrame([(1, " a  b\nc d ", 4, 10), (2, "a b", 2, 0), (3, "x y", 2, 2), (4, "p q r", 3, 1)], "doc_id long, text string, size long, taken long")
+    got = sorted((x["doc_id"], x["text"].strip()) for x in mixing.mixed_rows(df).collect())
+    assert got == [(1, "a  b"), (1, "a  b\nc d"), (1, "a  b\nc d"), (3, "x y"), (4, "p")]
+
+
+# 5: fingerprints.
+
+
+def test_edited_likeness(spark, hostile, monkeypatch):
+    monkeypatch.setattr(fingerprints, "GROUP_BYTES", 2000)
+    r = random.Random(8)
+    rows = [(i * 3, "".join(r.choice("abc dé\n") for _ in range(r.choice([0, 3, 50, 700])))) for i in range(200)]
+    rows += [(30, "tied"), (31, None)]
+    r.shuffle(rows)
+    got = sorted(tuple(x) for x in fingerprints.edited_likeness(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    order = sorted((i, t or "") for i, t in rows)
+    want, prints = [], {}
+    for k, (i, t) in enumerate(order):
+        follow = order[(k + 1) % len(order)][1]
+        cut = len(t) // 4
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - cut] + follow[:cut]).encode()).hexdigest()))
+    assert sorted(g[:3] for g in got) == sorted(want)
+    for g, (_, t) in zip(sorted(got, key=lambda g: g[:2]), sorted(order, key=lambda o: (o[0], len(o[1]))), strict=True):
+        assert prints.setdefault(t, g[3]) == g[3]
+        assert 0 <= g[5] <= 1 and 0 <= g[6] <= 1
+    assert fingerprints.edited_likeness(spark, hostile).count() == len(HOSTILE)
+    assert fingerprints.edited_likeness(spark, none_of(hostile)).count() == 0
+    one = fingerprints.edited_likeness(spark, spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")).first()
+    assert one["n_chars"] == 7 and one["near_next"] == 1.0
+
+
+def test_fingerprints_estimate_and_classes(spark):
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join(base[:390] + ["x"] * 10), " ".join(f"v{i}" for i in range(400)), ""]
+    s = fingerprints.signatures([t.encode() for t in texts])
+    sets = list(words.sets([t.encode() for t in texts]))
+    real = len(np.intersect1d(sets[0], sets[1])) / len(np.union1d(sets[0], sets[1]))
+    assert abs(fingerprints.likeness(s[:1], s[1:2])[0] - real) < 0.1 and fingerprints.likeness(s[:1], s[2:3])[0] < 0.05
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in fingerprints.similar_classes(spark, df).collect()) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
+# 6: decontamination.
+
+
+@pytest.mark.parametrize("block", [1 << 25, 60])
+def test_decontamination_equals_brute_force(spark, hostile, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(6)] + ["É", "1"]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([0, 2, 9, 10, 14])))) for i in range(12)] + [(12, None), (3, "W1 w2-w3"), (None, "nul l")]
+    docs = [(i, "".join(r.choice(vocabulary) + r.choice([" ", ", ", "\n"]) for _ in range(r.randrange(0, 60)))) for i in range(60)]
+    for i in range(10):
+        docs.append((100 + i, "head " + (items[r.randrange(12)][1] or "") .upper() + "; tail"))
+    docs += [(200, None), (201, "")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = decontaminate.brute_force(docs, [("" if i is None else i, t) for i, t in items])
+    got = {x[0]: tuple(x[1:]) for x in decontaminate.op6_query(spark, d, b).collect()}
+    assert got == want
+    kept = {x["doc_id"] for x in decontaminate.remove_hits(spark, d, b).collect()}
+    assert kept == {i for i, w in want.items() if not w[4]}
+    cut = {x["doc_id"]: x["text"] for x in decontaminate.remove_hits(spark, d, b, remove="spans").collect()}
+    again = decontaminate.find_hits(spark, d, b).collect()
+    assert len(cut) == len(again) and all(cut[i] == t for i, t in docs if not want[i][4])
+    assert decontaminate.find_hits(spark, hostile, b).count() == len(HOSTILE)
+    assert decontaminate.find_hits(spark, none_of(hostile), b).count() == 0
+    assert not decontaminate.find_hits(spark, d, none_of(b)).where("size(spans) > 0").count()
+
+
+# 7: sharding.
+
+
+def test_shards(spark, hostile):
+    df = spark.range(1003).selectExpr("id as doc_id", "repeat('x', cast(id % 50 as int)) as text", "if(id % 3 = 0, 'hot', concat('s', id % 7)) as source", "'en' as lang")
+    got = sharding.op7_query(spark, df).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        assert r["size"] == r["doc_id"] % 50 + 8 and r["text_crc32"] == zlib.crc32(b"x" * (r["doc_id"] % 50))
+    assert sorted(slots) == list(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert sorted(map(tuple, sharding.op7_query(spark, df.repartition(7)).collect()), key=repr) == sorted(map(tuple, got), key=repr)
+    assert sharding.hilbert_shards(spark, hostile).count() == len(HOSTILE)
+    assert sharding.hilbert_shards(spark, none_of(hostile)).count() == 0
+
+
+def test_hilbert_neighbours_touch():
+    n = 4
+    axes = np.array([(x, y, z) for x in range(1 << n) for y in range(1 << n) for z in range(1 << n)])
+    index = sharding.hilbert_index(axes, n)
+    assert sorted(index) == list(range(len(axes)))
+    walk = axes[np.argsort(index)]
+    assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+# 8: HTML.
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body class="x"><nav><ul><li><a href="/">menu</a></li></ul></nav><div class="ad">buy</div>
+<div class="cookie-notice">accept</div><aside>side</aside><{tag}><h1>Head &amp; tail</h1><p>One <b>two</b>  three<p>Four&nbsp;five<br>six<script>var t="</p>";</script><ul><li>item <li>last</ul>
+<form><p>name</p></form><section class="comments"><p>I object</p></section></{tag}><div id="sidebar">more</div><footer>&copy; foot</footer></body></html>"""
+TEXT = "Head & tail\nOne two three\nFour five six\nitem\nlast"
+
+
+def test_extraction(spark):
+    rows = [(1, "http://h.com/1", PAGE.format(tag="article")), (2, "http://h.com/2", PAGE.format(tag='div class="post-12"').replace("</div class=\"post-12\">", "</div>")), (3, None, None), (4, "nonsense", ""), (5, "http://h.com/5", "plain <b>text"), (6, "http://h.com/6", "<p>a < b &lt;c&gt; <i>d</i></p><!-- <p>no</p> -->e"), (6, "http://h.com/6", "<div hidden><p>no</p></div><p>yes</p>"), (7, "http://i.com", "<div" * 500 + "<p x='" * 200 + "end")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    got = [(r["page_id"], r["text"]) for r in html_text.extract_text(spark, df).collect()]
+    assert sorted(got)[:6] == [(1, TEXT), (2, TEXT), (3, ""), (4, ""), (5, "plain text"), (6, "a < b <c> d\ne")]
+    assert (6, "yes") in got and len(got) == len(rows)
+    q = html_text.op8_query(spark, df).collect()
+    assert all(r["n_chars"] == len(r["text"]) for r in q)
+    assert html_text.extract_text(spark, none_of(df)).count() == 0
+
+
+def test_extraction_by_join_is_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"http://h{i % 5}.com/{i}", PAGE.format(tag="article").replace("One", f"One {i}")) for i in range(40)], "page_id long, url string, html string")
+    once = sorted(map(tuple, html_text.extract_text(spark, df).collect()))
+    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", 0)
+    assert sorted(map(tuple, html_text.extract_text(spark, df).collect())) == once
+
+
+# 9: licences.
+
+
+def test_licenses(spark, hostile):
+    rows = [(1, "Under the MIT License; and mit-license. GNU  General Public\nLicense, version 3"), (2, "CC BY-NC 4.0"), (3, None), (4, "mit and license"), (5, "Kmit license é"), (6, "mit license"), (7, "ſmit license")]
+    got = {r["doc_id"]: r for r in licenses.op9_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"], got[1]["labels"]) == (3, 2, 7, "gpl,mit", "gpl,gpl-3.0,mit")
+    assert (got[2]["base_labels"], got[2]["labels"], got[2]["n_words"]) == ("cc-by", "cc-by,cc-by-nc", 5)
+    assert got[3]["n_words"] == 0 and got[3]["first_word"] is None and got[3]["labels"] == "" and got[4]["n_base"] == 0
+    assert got[5]["n_base"] == got[7]["n_base"] == 0 and got[6]["n_base"] == 1
+    assert licenses.scan_licenses(hostile).count() == len(HOSTILE)
+    assert licenses.op9_query(none_of(hostile)).count() == 0
+
+
+# 10: language.
+
+
+def test_suffix_automaton_knows_all_substrings():
+    r = random.Random(3)
+    s = np.array([r.randrange(3) for _ in range(60)])
+    table = language.suffix_automaton(s, 3)
+    known = {tuple(s[i:j]) for i in range(60) for j in range(i, 61)}
+    for _ in range(400):
+        q, state = [r.randrange(3) for _ in range(r.randrange(1, 9))], 0
+        for c in q:
+            state = table[state, c] if state >= 0 else -1
+        assert (state >= 0) == (tuple(q) in known)
+
+
+def test_phrases_equal_a_greedy_parse():
+    r = random.Random(3)
+    learned = {k: "".join(r.choice(v) for _ in range(500)) for k, v in {"x": "abc ", "y": "cde "}.items()}
+    model = language.Model({k: language.letters(v.encode()) for k, v in learned.items()})
+    for _ in range(30):
+        text = "".join(r.choice("abcde ") for _ in range(r.randrange(1, 200)))
+        low = "".join(chr(c) if c else " " for c in language.letters(text.encode()))
+        got = model.phrases([model.symbols(language.letters(text.encode()))])[0]
+        for k, lang in enumerate(model.langs):
+            have = "".join(chr(c) if c else " " for c in language.letters(learned[lang].encode()))
+            n, at = 0, 0
+            while at < len(low):
+                to = at + 1
+                while to < len(low) and low[at : to + 1] in have:
+                    to += 1
+                n, at = n + 1, to
+            assert abs(got[k] - n) <= 1
+
+
+def test_language(spark, hostile):
+    r = random.Random(5)
+    syllables = {"en": ["the ", "ing ", "ation", "wh"], "de": ["sch", "ung ", "der ", "ü"], "fr": ["é", "eaux ", "que ", "ment "]}
+    rows = [(i, "".join(r.choice(syllables[k]) for _ in range(80)), k) for i, k in enumerate(["en", "de", "fr"] * 60)]
+    rows += [(1000, None, "en"), (1001, "123 !!", "en"), (1002, "", None), (1003, "schungderü", None)]
+    got = {x["doc_id"]: x for x in language.op10_query(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["lang_pred"] == k for i, _, k in rows[:180])
+    assert [got[i]["lang_pred"] for i in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "de"]
+    assert all(0 <= x["score"] <= 1 for x in got.values())
+    assert language.identify_language(spark, hostile).count() == len(HOSTILE)
+    assert language.identify_language(spark, none_of(hostile)).count() == 0
+    unlabelled = hostile.withColumn("lang", F.lit(None).cast("string"))
+    assert {x["lang_pred"] for x in language.identify_language(spark, unlabelled).collect()} == {"und"}
