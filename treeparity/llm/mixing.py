@@ -46,7 +46,7 @@ def source_targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     left = (F.sum("source_size").over(everything) - epochs * F.coalesce(F.sum("source_size").over(before), zero)).cast("double")
     weights = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), zero)
     s = s.withColumn("level", left / weights)
-    level = F.min(F.when(F.col("per") > F.col("level"), F.col("level"))).over(everything)
+    level = F.max(F.when(F.col("per") > F.col("level"), F.col("level"))).over(everything)  # that of the first which is not at its limit
     s = s.withColumn("free", level)
     target = F.when(F.col("free").isNull() | (F.col("per") <= F.col("level")), F.lit(float(epochs)) * F.col("source_size")).otherwise(F.col("w") * F.col("free"))
     return s.select("sk", "source_size", target.cast("double").alias("target"))
@@ -104,7 +104,7 @@ s1 AS (SELECT *, (row_number() OVER (ORDER BY sk = 'n', sk) - 1) % 3 + 1 AS w FR
 s2 AS (SELECT *, CAST(3 AS DOUBLE) * source_size / w AS per FROM s1),
 s3 AS (SELECT *, CAST((SELECT sum(source_size) FROM s0) - 3 * coalesce(sum(source_size) OVER (ORDER BY per, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
          / ((SELECT sum(w) FROM s1) - coalesce(sum(w) OVER (ORDER BY per, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM s2),
-s4 AS (SELECT *, (SELECT min(level) FROM s3 WHERE per > level) AS free FROM s3),
+s4 AS (SELECT *, (SELECT max(level) FROM s3 WHERE per > level) AS free FROM s3),
 s5 AS (SELECT sk, source_size, CASE WHEN free IS NULL OR per <= level THEN CAST(3 AS DOUBLE) * source_size ELSE w * free END AS target FROM s4),
 p AS (SELECT d.*, source_size, target, least(CAST(round(target) AS BIGINT), 3 * source_size) AS budget,
          coalesce(sum(size) OVER (PARTITION BY d.sk ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
