@@ -102,13 +102,16 @@ class Model:
             if c < _BMP:
                 self.symbol[c] = i + 1
         self.langs = sorted(samples)
-        self.tables, self.bits = [], []
+        self.tables, self.between, self.bits = [], [], []
         width = self.pad + 1
         for lang in self.langs:
             steps = suffix_automaton(self.symbols(samples[lang]), width)
-            restart = np.maximum(steps[0], 0)
-            table = np.where(steps >= 0, steps * width, ~(restart[None, :] * width)).astype(np.int32)
-            table[:, self.pad] = 0
+            between = len(steps)  # where a phrase is over: the next symbol begins one, whatever it is
+            restart = np.where(steps[0] >= 0, steps[0], between) * width
+            table = np.where(steps >= 0, steps * width, ~restart[None, :])
+            table = np.concatenate([table, ~restart[None, :]]).astype(np.int32)
+            table[:, self.pad] = between * width
+            self.between.append(between * width)
             self.tables.append(table.ravel())
             self.bits.append(np.log2(len(samples[lang]) + 2))
 
@@ -130,7 +133,7 @@ class Model:
         live = len(order) - np.searchsorted(length[order][::-1], np.arange(SEGMENT), side="right")
         out = np.zeros((len(texts), len(self.langs)))
         for k, table in enumerate(self.tables):
-            state = np.zeros(len(order), np.int32)
+            state = np.full(len(order), self.between[k], np.int32)
             n = np.zeros(len(order), np.int32)
             for t in range(SEGMENT):
                 m = int(live[t])
@@ -141,7 +144,7 @@ class Model:
                 broke = v >> 31
                 n[:m] -= broke
                 state[:m] = v ^ broke
-            out[:, k] = np.bincount(owner[order], n + 1, len(texts)) if len(order) else 0
+            out[:, k] = np.bincount(owner[order], n, len(texts)) if len(order) else 0
         return out
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
