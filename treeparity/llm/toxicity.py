@@ -36,8 +36,8 @@ SURE, CLEAN = 0.6, 0.4
 Z = 1.64
 # Letters of other scripts by the Latin letter they look like.
 LOOK_ALIKES = {
-    "a": "аɑαａ", "b": "Ьвβ", "c": "сϲⅽ", "d": "ԁɗ", "e": "еєεҽ", "g": "ɡԍ", "h": "һнհ", "i": "іιıɩїӏ", "j": "јϳ", "k": "кκ", "m": "мⅿ",
-    "n": "пηո", "o": "оοσօ", "p": "рρ", "q": "ԛզ", "r": "гⲅ", "s": "ѕꜱ", "t": "тτ", "u": "υսц", "v": "ѵν", "w": "ԝωш", "x": "хχ", "y": "уγү", "z": "ᴢ",
+    "a": "аɑαａ", "b": "Ьвβ", "c": "сϲⅽ", "d": "ԁɗдđ", "e": "еєεҽэ", "g": "ɡԍ", "h": "һнհħ", "i": "іιıɩїɪ", "j": "јϳ", "k": "кκ", "l": "łⅼӏ", "m": "мⅿ",
+    "n": "пηո", "o": "оοσօøө", "p": "рρ", "q": "ԛզ", "r": "гⲅ", "s": "ѕꜱ", "t": "тτ", "u": "υսц", "v": "ѵν", "w": "ԝωшщ", "x": "хχ", "y": "уγү", "z": "ᴢ",
 }
 # Digits and signs by the letter they stand for.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
