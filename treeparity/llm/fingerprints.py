@@ -8,6 +8,7 @@ signature bands and verifies the likeness on the sets themselves.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,8 +23,11 @@ from .components import components
 
 HASHES = 128
 SHINGLE = 5
-#: Bytes of input that one group of neighbouring documents is dealt.
+#: Bytes of input that one group of neighbouring documents is dealt, unless there would be more than MOST_GROUPS.
 GROUP_BYTES = 8 << 20
+MOST_GROUPS = 4096
+#: Bytes of text that are worked on at once.
+BLOCK_BYTES = 1 << 21
 BANDS, BAND_ROWS = 32, 4
 LEAST = 0.75
 
@@ -118,33 +122,64 @@ def _pack(starts: list[int], first_null: bool) -> Callable[[Iterator[pa.RecordBa
 _EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _compare_neighbours(group: pa.Table) -> pa.Table:
-    """One group in order of (doc_id, text): each text, its edited text and the next."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, int | None, bytes]]:
+    """Sorted rows (grp, guest, doc_id, text), those of one id in order of their texts."""
     open_up = zstandard.ZstdDecompressor()
-    ids, guest = group.column("doc_id").to_pylist(), group.column("guest").to_pylist()
-    texts = [open_up.decompress(p) for p in group.column("packed").to_pylist()]
-    order = sorted((i for i in range(len(ids)) if not guest[i]), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
-    visits = sorted((i for i in range(len(ids)) if guest[i]), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
-    raw = [texts[i] for i in order + visits[:1]]
+
+    def plain():
+        for batch in batches:
+            for g, guest, i, packed in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                yield g, guest, i, open_up.decompress(packed)
+
+    for _, tied in itertools.groupby(plain(), key=lambda r: r[:3]):
+        first = next(tied)
+        rest = list(tied)
+        yield from sorted([first, *rest], key=lambda r: r[3]) if rest else [first]
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each group's own rows in order, then its guests, as a stream: every text, its edited text and the next."""
+    own: list[tuple[int | None, bytes]] = []
+    size, grp, done = 0, None, False
+    for g, guest, i, text in _rows(batches):
+        if g != grp:
+            if own:
+                yield _compare(own, own[-1][1])
+            own, size, grp, done = [], 0, g, False
+        if guest:
+            if own and not done:
+                yield _compare(own, text)
+                own = []
+            done = True
+            continue
+        if size > BLOCK_BYTES:
+            yield _compare(own, text)
+            own, size = [], 0
+        own.append((i, text))
+        size += len(text)
+    if own:
+        yield _compare(own, own[-1][1])
+
+
+def _compare(rows: list[tuple[int | None, bytes]], follow: bytes) -> pa.RecordBatch:
+    """Rows in order, the last of which is followed by ``follow``."""
+    raw = [t for _, t in rows] + [follow]
     chars = [t.decode("utf-8", "replace") for t in raw]
-    n = len(order)
-    following = [k + 1 if k + 1 < len(raw) else k for k in range(n)]
     edited = []
-    for k in range(n):
+    for k in range(len(rows)):
         cut = len(chars[k]) // 4
-        edited.append((chars[k][: len(chars[k]) - cut] + chars[following[k]][:cut]).encode())
+        edited.append((chars[k][: len(chars[k]) - cut] + chars[k + 1][:cut]).encode())
     own, changed = signatures(raw), signatures(edited)
-    return pa.table(
-        {
-            "doc_id": pa.array([ids[i] for i in order], pa.int64()),
-            "n_chars": pa.array([len(c) for c in chars[:n]], pa.int64()),
-            "edited_sha256": pa.array([hashlib.sha256(e).hexdigest() for e in edited], pa.string()),
-            "fingerprint": pa.array(as_text(own[:n]), pa.string()),
-            "edited_fingerprint": pa.array(as_text(changed), pa.string()),
-            "near_edited": pa.array(likeness(own[:n], changed), pa.float64()),
-            "near_next": pa.array(likeness(own[:n], own[following]), pa.float64()),
-        }
-    )
+    columns = {
+        "doc_id": pa.array([i for i, _ in rows], pa.int64()),
+        "n_chars": pa.array([len(c) for c in chars[:-1]], pa.int64()),
+        "edited_sha256": pa.array([hashlib.sha256(e).hexdigest() for e in edited], pa.string()),
+        "fingerprint": pa.array(as_text(own[:-1]), pa.string()),
+        "edited_fingerprint": pa.array(as_text(changed), pa.string()),
+        "near_edited": pa.array(likeness(own[:-1], changed), pa.float64()),
+        "near_next": pa.array(likeness(own[:-1], own[1:]), pa.float64()),
+    }
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def edited_likeness(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,13 +188,14 @@ def edited_likeness(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     The edited text has its last quarter replaced by the beginning of the next document by id;
     after the last comes the first, and a single document follows itself. Documents go to groups
     of neighbouring ids, compressed, in one shuffle; the first of a group visits the group before.
+    Groups are streamed in order, whatever their size.
     Null ids come first; rows of one id are in order of their texts; null texts are empty.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ids = own.agg(F.count("*").alias("n"), F.count("doc_id").alias("m"), F.min("doc_id").alias("least")).first()
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n_groups = max(1, min(-(-size // GROUP_BYTES), -(-ids["n"] // 16)))
+    n_groups = max(1, min(-(-size // GROUP_BYTES), -(-ids["n"] // 16), MOST_GROUPS))
     cuts = own.approxQuantile("doc_id", [i / n_groups for i in range(1, n_groups)], 0.25 / n_groups) if ids["m"] and n_groups > 1 else []
     starts = sorted({ids["least"] or 0, *(int(c) for c in cuts)})
     packed = own.mapInArrow(_pack(starts, ids["m"] < ids["n"]), "grp int, guest boolean, doc_id long, packed binary")
-    return packed.groupBy("grp").applyInArrow(_compare_neighbours, _EDITED)
+    return packed.repartition(n_groups, "grp").sortWithinPartitions("grp", "guest", "doc_id").mapInArrow(_neighbours, _EDITED)
