@@ -1 +1 @@
-
+"""Column expressions: text formats, the sampling plan and digests."""

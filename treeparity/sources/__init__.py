@@ -1 +1 @@
-
+"""Sources and sinks: directory trees, file content, line and list files."""

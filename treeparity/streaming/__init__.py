@@ -1 +1 @@
-
+"""Runs are batches: a journal of committed chunks (``plans.engine``) takes the place of a stream."""
