@@ -1,17 +1,19 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Documents are sets of 5-word shingles. Equal sets collapse to one node first. Each node has a
-MinHash sketch; in every tree a node's sets branch by a few selected sketch coordinates, so that
-two sets of similarity s meet in a child with probability s for each coordinate. A child of at
-most ``LEAF`` members is compared exhaustively, a larger one branches again along a path of its
-own. ``TREES`` independent trees bring the recall of a pair at the threshold to
-1 - 0.3**TREES or more after two levels, and of closer pairs far above that.
-
-A path that ends at the deepest level with many members holds sets that agree almost everywhere:
-each member is linked to a few leaders of that node, and what then is in another component than
-most members is compared with all members, so that no cap drops a link. Links are confirmed on
-full sets: first the best candidate of each node, then every candidate between different
-components.
+MinHash sketch; in every tree a node's sets branch by one or two selected sketch coordinates, four
+thirds on average, so that two sets of the threshold's similarity meet in one child on average and
+closer ones in more. A child of at most ``LEAF`` members is compared exhaustively, a larger one
+branches again along a path of its own. ``TREES`` independent trees bring the recall of a pair at
+the threshold to 1 - 0.4**TREES after four coordinates, and of closer pairs far above that.
+
+A child that keeps ``SETTLED`` of a large parent's members, or is large at the deepest level, is
+not split further; it is compared in blocks instead, so that no cap drops a link. Links are
+confirmed on full sets, in two rounds: first each node's best candidate among a few leaders of its
+children, which costs a comparison or two a node, then, in children with members of different
+components, all members whose sketches allow for a link to another component are compared in one
+task, which gives a forest of their links. So a group of copies that is one component already
+costs no comparison, and no step writes a row for each pair of a group.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,23 +36,32 @@ SHINGLE = 5
 #: Link where 100 * intersection >= 75 * union.
 PERCENT = 75
 TREES = 12
-LEAF = 32
-#: Levels: the first takes one coordinate, each further pass two.
-PASSES = 5
-LEADERS = 8
-SKETCH = 64
-#: A pair whose sketches agree on fewer coordinates is over 4.6 standard deviations below the threshold.
-LEAST_AGREEMENT = 32
+LEAF = 8
+#: The first pass takes one coordinate, each further one ``STEPS``; no child of the first is a leaf.
+PASSES = 4
+STEPS = 3
+#: Share of a parent's members from which a child's are near copies: three coordinates at the threshold keep 0.42.
+SETTLED = 0.5
+LEADERS = 2
+#: Members of a block that is compared with another in one task.
+BLOCK = 512
+#: A sketch has minima of 32 bits, by which trees branch, and more of 8 bits, which only count.
+WIDE, NARROW = 40, 160
+#: Coordinates on which two sketches agree at least: 4.5 standard deviations below the threshold.
+LEAST_AGREEMENT = 122
+#: From this agreement on, all of a node's candidates are as good, and one that others choose too is taken.
+SURE_AGREEMENT = 164
 SIGNED = "doc_id long, text_key long, node long, n_shingles long, sketch binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    minhash = words.MinHash(SKETCH)
+    minhash = words.MinHash(WIDE + NARROW)
     for batch in batches:
         texts = words.text_bytes(batch.column(2))
         for i, j in words.blocks(texts):
             h, n_of = words.shingles(texts[i:j], SHINGLE)
-            sketch = minhash(h, n_of)
+            minima = minhash(h, n_of)
+            wide, narrow = minima[:, :WIDE], (minima[:, WIDE:] & np.uint32(255)).astype(np.uint8)
             nodes, sizes, at = [], [], 0
             for n in n_of:
                 a = np.sort(h[at : at + n])
@@ -57,27 +69,101 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a = a[np.concatenate([[True], a[1:] != a[:-1]])] if n else a
                 sizes.append(len(a))
                 nodes.append(int.from_bytes(hashlib.md5(a.tobytes()).digest()[:8], "little", signed=True))
+            sketch = [x.tobytes() + y.tobytes() for x, y in zip(wide, narrow, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketch, pa.binary())],
                 names=["doc_id", "text_key", "node", "n_shingles", "sketch"],
             )
 
 
+def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 * WIDE + NARROW)
+    return np.ascontiguousarray(raw[:, : 4 * WIDE]).view(np.uint32), raw[:, 4 * WIDE :]
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates (a, b, sa, sb) whose sketches agree on enough coordinates."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, SKETCH) for k in (2, 3))
-        agree = (x == y).sum(axis=1)
-        keep = np.flatnonzero(agree >= LEAST_AGREEMENT)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(agree[keep], pa.int32())], names=["a", "b", "agree"])
+        if batch.num_rows:
+            (xw, xn), (yw, yn) = _sketches(batch.column(2)), _sketches(batch.column(3))
+            agree = (xw == yw).sum(axis=1) + (xn == yn).sum(axis=1)
+            keep = np.flatnonzero(agree >= LEAST_AGREEMENT)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(agree[keep], pa.int32())], names=["a", "b", "agree"])
+
+
+def _candidates_in_block(group: pa.Table) -> pa.Table:
+    """Rows (key, block, node) of one group that may link to another component's, by their sketches.
+
+    Rows of role 0 are compared with each other; otherwise those of role 1 with those of role 2.
+    """
+    group = group.combine_chunks()
+    column = lambda name: np.asarray(group.column(name))
+    node, c, role = column("node"), column("c"), column("role")
+    wide, narrow = _sketches(group.column("sketch"))
+    right = np.flatnonzero(role != 1)
+    found = np.zeros(len(node), bool)
+    for i in np.flatnonzero(role != 2):
+        other = right[c[right] != c[i]]
+        good = other[(wide[other] == wide[i]).sum(axis=1) + (narrow[other] == narrow[i]).sum(axis=1) >= LEAST_AGREEMENT]
+        found[good] = True
+        found[i] |= len(good) > 0
+    return group.select(["key", "block", "node"]).filter(pa.array(found))
+
+
+def _links_in_block(group: pa.Table) -> pa.Table:
+    """A forest (a, b) of the links between the texts of one group, all compared on their full sets.
+
+    Shingles of one text alone are in no intersection, and a text with too many of those has no
+    link; intersections of the others are products of 0/1 matrices, some columns at a time.
+    """
+    node = np.asarray(group.column("node").combine_chunks())
+    node, first = np.unique(node, return_index=True)
+    open_up = zstandard.ZstdDecompressor()
+    packed = group.column("packed").take(pa.array(first)).to_pylist()
+    sets = list(words.sets([open_up.decompress(x) for x in packed], SHINGLE))
+    n = np.array([len(x) for x in sets], np.int64)
+    values, at, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    shared = count[at] > 1
+    keep = 100 * np.bincount(owner[shared], minlength=len(sets)) >= PERCENT * n
+    column = np.cumsum(count > 1) - 1
+    use = shared & keep[owner]
+    row, col = owner[use], column[at[use]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        i, j = np.searchsorted(col, [start, start + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[i:j], col[i:j] - start] = 1
+        both += part @ part.T
+    link = (both > 0) & (100 * both >= PERCENT * (n[:, None] + n[None, :] - both))
+    free, pairs = np.ones(len(sets), bool), []
+    for seed in range(len(sets)):
+        reached = [seed] if free[seed] else []
+        free[seed] = False
+        while reached:
+            x = reached.pop()
+            new = np.flatnonzero(link[x] & free)
+            free[new] = False
+            pairs += [(int(node[x]), int(node[y])) for y in new]
+            reached += new.tolist()
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) to (node, text as zstd)."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = [squeeze.compress(t) for t in words.text_bytes(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "packed"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, ta, tb) that reach the similarity on their full sets."""
+    """Pairs (a, b, pa, pb) whose packed texts reach the similarity on their full sets."""
+    open_up = zstandard.ZstdDecompressor()
     for batch in batches:
-        left, right = words.text_bytes(batch.column(2)), words.text_bytes(batch.column(3))
+        left, right = ([open_up.decompress(x) for x in batch.column(k).to_pylist()] for k in (2, 3))
         good = []
         for i, j in words.blocks([x + y for x, y in zip(left, right, strict=True)]):
             for k, (x, y) in enumerate(zip(words.sets(left[i:j], SHINGLE), words.sets(right[i:j], SHINGLE), strict=True)):
@@ -87,51 +173,58 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64()))], names=["a", "b"])
 
 
-def _coordinate(c) -> F.Column:
-    """Coordinate c of the sketch; c may be a column."""
-    return F.substring("sketch", 4 * c + 1, 4) if isinstance(c, int) else F.expr(f"substring(sketch, cast(4 * ({c}) + 1 as int), 4)")
-
-
 def _roots() -> list[F.Column]:
-    """The children of the trees' roots: the same coordinates for every node."""
+    """The children of the trees' roots: the same coordinates for every node, no two alike as far as there are enough."""
     rng = np.random.Generator(np.random.PCG64(11))
+    drawn = [int(c) for _ in range(1 + 2 * TREES // WIDE) for c in rng.permutation(WIDE)]
     keys = []
     for tree in range(TREES):
-        for c in rng.choice(SKETCH, 1 + (rng.random() < 1 / 3), replace=False):
-            keys.append(F.xxhash64(F.lit(tree), F.lit(int(c)), _coordinate(int(c))))
+        for _ in range(2 if tree % 3 == 0 else 1):
+            c = drawn.pop(0)
+            keys.append(F.xxhash64(F.lit(tree), F.lit(c), F.substring("sketch", 4 * c + 1, 4)))
     return keys
 
 
 def _children(key: str) -> str:
     """SQL for the array of a node's children: one coordinate, and with probability 1/3 a second, drawn by the path."""
-    child = [f"xxhash64({key}, {k}, substring(sketch, cast(4 * pmod(xxhash64({key}, {k}), {SKETCH}) + 1 as int), 4))" for k in (1, 2)]
+    child = [f"xxhash64({key}, {k}, substring(sketch, cast(4 * pmod(xxhash64({key}, {k}), {WIDE}) + 1 as int), 4))" for k in (1, 2)]
     return f"if(pmod(xxhash64({key}, 3), 3) = 0, array({', '.join(child)}), array({child[0]}))"
 
 
-def candidates(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(a, b) pairs that meet in a leaf or under a leader; (key, node) of what stayed large at the deepest level."""
-    pairs: list[DataFrame] = []
-    entries = nodes.select("node", F.explode(F.array(*_roots())).alias("key"))
-    rest = None
+def _children_after(steps: int) -> str:
+    """SQL for the array of a node's children after so many coordinates."""
+    out = _children("key")
+    for i in range(1, steps):
+        out = f"flatten(transform({out}, k{i} -> {_children(f'k{i}')}))"
+    return out
+
+
+def chosen_paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node, n) of all children that are not split further and have two members at least."""
+    ended: list[DataFrame] = []
+    entries = nodes.select("node", F.explode(F.array(*_roots())).alias("key"), F.lit(None).cast("long").alias("above"))
     for depth in range(PASSES):
-        size = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        met = scratch.table(entries.join(size, "key").select("key", "node", (F.col("n") > LEAF).alias("large")), f"met-{depth}")
-        leaf = met.where("not large").groupBy("key").agg(F.collect_set("node").alias("m")).select("m", F.explode("m").alias("a"))
-        pairs.append(leaf.select("a", F.explode(F.expr("filter(m, x -> x > a)")).alias("b")))
-        rest = met.where("large").select("key", "node")
-        if rest.isEmpty():
-            break
-        if depth + 1 < PASSES:
-            deeper = rest.join(nodes.select("node", "sketch"), "node")
-            deeper = deeper.select("node", "sketch", F.explode(F.expr(_children("key"))).alias("key"))
-            entries = deeper.select("node", F.explode(F.expr(_children("key"))).alias("key"))
+        size = entries.groupBy("key").agg(F.count("*").alias("n"), F.max("above").alias("above")).where("n > 1")
+        deepest = depth + 1 == PASSES
+        ends = "false" if depth == 0 else f"n <= {LEAF} or n >= {SETTLED} * above or {str(deepest).lower()}"
+        met = scratch.table(entries.drop("above").join(size.withColumn("ends", F.expr(ends)), "key").select("key", "node", "n", "ends"), f"met-{depth}")
+        if depth:
+            ended.append(met.where("ends").select("key", "node", "n"))
+        if not deepest:
+            deeper = met.where("not ends").join(nodes.select("node", F.substring("sketch", 1, 4 * WIDE).alias("sketch")), "node")
+            entries = deeper.select("node", F.explode(F.expr(_children_after(STEPS))).alias("key"), F.col("n").alias("above"))
+    found = ended[0]
+    for e in ended[1:]:
+        found = found.unionByName(e)
+    return found
+
+
+def _with_leaders(met: DataFrame) -> DataFrame:
+    """Each member of a child with its leaders, the same ones in every tree, as pairs (a, b)."""
     by_key = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-    leaders = rest.withColumn("r", F.row_number().over(by_key)).where(f"r <= {LEADERS}").groupBy("key").agg(F.collect_set("node").alias("m"))
-    pairs.append(rest.join(leaders, "key").select("node", F.explode("m").alias("leader")).where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
-    found = pairs[0]
-    for p in pairs[1:]:
-        found = found.unionByName(p)
-    return found.distinct(), rest
+    leaders = met.withColumn("r", F.row_number().over(by_key)).where(f"r <= {LEADERS}").groupBy("key").agg(F.collect_set("node").alias("m"))
+    pairs = met.join(leaders, "key").select("node", F.explode("m").alias("leader")).where("node <> leader")
+    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
 def _screen(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -141,34 +234,53 @@ def _screen(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long, agree int")
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """A candidate (a, b) of each node: the surest, among sure ones that of the greatest hash, so that near copies choose the same."""
+    ends = [pairs.select(F.col(x).alias("node"), F.struct(F.least("agree", F.lit(SURE_AGREEMENT)).alias("sure"), F.xxhash64(y).alias("h"), "a", "b").alias("p")) for x, y in (("a", "b"), ("b", "a"))]
+    return ends[0].union(ends[1]).groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+
+
+def _between(met: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between members of one child that are in different components, enough to join them.
+
+    Small children are groups of their own. Of a large one, the members outside its most frequent
+    component are compared with all members, in blocks; the rest is one component.
+    """
+    labelled = met.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("c"))
+    counts = labelled.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("main"), F.count("*").alias("k"))
+    split = scratch.table(labelled.join(counts.where("k > 1").select("key", F.col("main.c").alias("main"), F.col("main.n").alias("most")), "key"), "between")
+    few = split.where(f"n <= {BLOCK}").select("key", F.lit(0).alias("block"), "node", "c", F.lit(0).alias("role"))
+    many = split.where(f"n > {BLOCK}").withColumns({"outside": F.col("c") != F.col("main"), "blocks": F.expr(f"cast(ceil(n / {BLOCK}) as int)"), "against": F.expr(f"cast(ceil((n - most) / {BLOCK}) as int)")})
+    meet = F.expr("transform(sequence(0, against - 1), i -> cast(i * blocks + pmod(xxhash64(node), blocks) as int))")
+    visit = F.expr("transform(sequence(0, blocks - 1), i -> cast(pmod(xxhash64(node, 1), against) * blocks + i as int))")
+    all_of = many.select("key", F.explode(meet).alias("block"), "node", "c", F.lit(2).alias("role"))
+    some = many.where("outside").select("key", F.explode(visit).alias("block"), "node", "c", F.lit(1).alias("role"))
+    rows = few.unionByName(all_of).unionByName(some).join(nodes.select("node", "sketch"), "node")
+    able = scratch.table(rows.groupBy("key", "block").applyInArrow(_candidates_in_block, "key long, block int, node long"), "able")
+    return able.join(texts, "node").select("key", "block", "node", "packed").groupBy("key", "block").applyInArrow(_links_in_block, "a long, b long")
+
+
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the first document of each node."""
+    """(node, packed) of the first document of each node."""
     first = nodes.select("node", F.col("first_id").alias("doc_id"), "text_key")
-    return docs.join(first, ["doc_id", "text_key"]).select("node", "text")
+    return docs.join(first, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_pack, "node long, packed binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that are links; texts: (node, text). The side with more partners is joined last."""
-    x = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    y = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    return pairs.select("a", "b").join(x, "b").join(y, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
-
-
-def _label(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs with the components ca, cb of their ends."""
-    x = roots.select(F.col("node").alias("a"), F.col("root").alias("ca"))
-    y = roots.select(F.col("node").alias("b"), F.col("root").alias("cb"))
-    return pairs.join(x, "a", "left").join(y, "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+    """The pairs that are links; texts: (node, packed). The side with more partners is joined last."""
+    x = texts.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
+    y = texts.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
+    return pairs.select("a", "b").join(x, "b").join(y, "a").select("a", "b", "pa", "pb").mapInArrow(_confirm, "a long, b long")
 
 
-def _left_over(rest: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of large nodes' members of which one is not in that node's most frequent component."""
-    c = scratch.table(rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("c")), "left-over")
-    n = c.groupBy("key", "c").agg(F.count("*").alias("n"))
-    main = n.groupBy("key").agg(F.max(F.struct("n", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").select("key", F.col("main.c").alias("main"))
-    few = c.join(main, "key").where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    meet = few.join(c, "key").where("c <> cx")
-    return meet.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+def _contract(links: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Roots after more links; only components that the links join are worked on."""
+    ends = links
+    for x in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, name)
+    moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return scratch.table(moved.unionByName(merged.join(roots, "node", "left_anti")), f"{name}-all")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,28 +299,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     first = filled.groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "sketch")).alias("f"), F.count("*").alias("copies"))
     nodes = scratch.table(first.select("node", F.col("f.doc_id").alias("first_id"), F.col("f.text_key").alias("text_key"), "copies", F.col("f.sketch").alias("sketch")), "nodes")
 
-    found, rest = candidates(nodes, scratch)
-    pairs = scratch.table(_screen(found, nodes), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    near = nodes.join(ends, "node", "left_semi")
-    texts = scratch.table(_texts(docs, near), "texts")
-
-    both = pairs.select(F.col("a").alias("node"), F.struct("agree", "a", "b").alias("p")).union(pairs.select(F.col("b").alias("node"), F.struct("agree", "a", "b").alias("p")))
-    best = both.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
-    links = scratch.table(_confirmed(best, texts), "links-1")
+    met = chosen_paths(nodes, scratch)
+    texts = scratch.table(_texts(docs, nodes.join(met.select("node").distinct(), "node", "left_semi")), "texts")
+    pairs = scratch.table(_screen(_with_leaders(met), nodes), "pairs")
+    links = scratch.table(_confirmed(_best(pairs), texts), "links-1")
     roots = components(links, scratch, "roots-1")
-
-    across = _label(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), roots).where("ca <> cb").select("a", "b")
-    if not rest.isEmpty():
-        more = _screen(_left_over(rest, roots, scratch), nodes).select("a", "b")
-        across = across.unionByName(more).distinct()
-        more_ends = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
-        missing = nodes.join(more_ends, "node", "left_semi").join(texts, "node", "left_anti")
-        texts = texts.unionByName(_texts(docs, missing))
-    more_links = scratch.table(_confirmed(across, texts), "links-2")
-    if not more_links.isEmpty():
-        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = components(more_links.unionByName(known), scratch, "roots-2")
+    more = scratch.table(_between(met, roots, nodes, texts, scratch), "links-2")
+    roots = _contract(more, roots, scratch, "roots-2")
 
     ids = nodes.select("node", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = ids.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("members"))
