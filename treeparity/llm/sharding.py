@@ -18,6 +18,8 @@ from ..scratch import Scratch
 
 BITS = 8
 SHARDS = 24
+#: Codes of at most so many values of a column are broadcast; with more, they are joined.
+BROADCAST_VALUES = 10_000
 
 
 def hilbert_index(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -76,28 +78,37 @@ def ranked(df: DataFrame, keys: list[str], scratch: Scratch, name: str, n_partit
     for p, n in sizes:
         starts[p] = total
         total += n
-    offsets = F.create_map(*[F.lit(v) for p, s in starts.items() for v in (int(p), int(s))]) if starts else F.create_map(F.lit(0), F.lit(0))
-    found = placed.withColumn("rank", F.element_at(offsets.cast("map<bigint,bigint>"), part) + F.expr("_at & 8589934591")).drop("_at")
+    offsets = scratch.spark.createDataFrame([(int(p), int(s)) for p, s in starts.items()], "_part bigint, _start bigint")
+    found = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    found = found.withColumn("rank", F.col("_start") + F.expr("_at & 8589934591")).drop("_at", "_part", "_start")
     return found, total
 
 
-def hilbert_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hilbert_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with size, text_crc32, shard and slot (columns of these names are replaced).
 
+    ``keep`` names the other columns to return, all by default; what is not kept, such as a text
+    of which only the size counts, is not shuffled.
+
     Counts of shards differ by one at most; slots count from 0 within a shard. Rows are ordered by
     curve index, id, size and checksum, nulls first; rows equal in all these are interchangeable.
     Null texts have no bytes. Missing columns source and lang count as null.
     """
     scratch = Scratch(spark, "shards")
     own = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
+    kept = [c for c in own if keep is None or c in keep]
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*own, (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     for name in ("source", "lang"):
         rows = rows.withColumn(f"_{name}", F.col(name).cast("string") if name in own else F.lit(None).cast("string"))
     slim = rows.select(F.col("_source").alias("source"), F.col("_lang").alias("lang"))
     ends = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
+    if id_col not in kept:
+        raise ValueError(f"{id_col} orders the rows and must be kept")
+    rows = rows.select(*kept, "size", "text_crc32", "_source", "_lang")
     for name in ("source", "lang"):
-        codes = _codes(slim.select(name), name).withColumnRenamed(f"_{name}", "_v")
+        codes = scratch.table(_codes(slim.select(name), name).withColumnRenamed(f"_{name}", "_v"), f"codes-{name}")
+        codes = F.broadcast(codes) if codes.count() <= BROADCAST_VALUES else codes
         rows = rows.join(codes, rows[f"_{name}"].eqNullSafe(codes["_v"]), "left").drop("_v", f"_{name}")
     size_code = F.least(F.lit((1 << BITS) - 1), F.floor(F.log2(F.col("size")) * 8).cast("int"))
     curve = F.pandas_udf(_curve, "long")
@@ -105,13 +116,11 @@ def hilbert_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, i
     stats = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n_partitions = max(1, min(-(-stats // (32 << 20)), -(-ends[2] // 1000)))
     found, total = ranked(rows, ["_curve", id_col, "size", "text_crc32"], scratch, "order", n_partitions)
-    n = F.lit(max(total, 1))
-    found = found.withColumn("shard", F.expr("0") if not total else F.floor(F.col("rank") * shards / n).cast("int"))
     found = found.withColumn("shard", F.expr(f"cast((rank * {shards}) div {max(total, 1)} as int)"))
     first = F.expr(f"(shard * cast({max(total, 1)} as bigint) + {shards - 1}) div {shards}")
-    return found.withColumn("slot", F.col("rank") - first).select(*own, "size", "text_crc32", "shard", "slot")
+    return found.withColumn("slot", F.col("rank") - first).select(*kept, "size", "text_crc32", "shard", "slot")
 
 
 def op7_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    found = hilbert_shards(spark, docs.select("doc_id", "text", "source", "lang").withColumns({"_t": F.coalesce("text", F.lit(""))}).select("doc_id", "source", "lang", F.col("_t").alias("text")))
+    found = hilbert_shards(spark, docs, keep=["doc_id"])
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
