@@ -58,6 +58,16 @@ def test_repeated_rows_nulls_and_extra_columns(spark):
     assert sorted(got, key=repr) == sorted([(7, 3, 7, True), (7, 3, 7, True), (9, 3, 7, False), (None, 1, None, True), (11, 1, 11, True)], key=repr)
 
 
+def test_a_null_id_among_copies(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "x"])
+    rows = [(i, " ".join(base)) for i in (8, None, 5, None, 6)] + [(3, near)]
+    rows += [(None, " ".join(f"v{i}" for i in range(30))), (None, " ".join(f"v{i}" for i in range(31)))]
+    got = [tuple(x) for x in near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(i, 56, 3, i == 3) for i in (8, None, 5, None, 6, 3)] + [(None, 26, None, True), (None, 27, None, True)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(spark, df).count() == 0

@@ -261,9 +261,11 @@ def _between(met: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFram
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, packed) of the first document of each node."""
-    first = nodes.select("node", F.col("first_id").alias("doc_id"), "text_key")
-    return docs.join(first, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_pack, "node long, packed binary")
+    """(node, packed) of the first document of each node; rows that repeat its id and text are one."""
+    first = nodes.select("node", F.col("first_id"), F.col("text_key").alias("first_key"), (F.col("copies") > 1).alias("many"))
+    found = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")))
+    packed = lambda rows: rows.select("node", "text").mapInArrow(_pack, "node long, packed binary")
+    return packed(found.where("not many")).unionByName(packed(found.where("many")).groupBy("node").agg(F.min("packed").alias("packed")))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -288,15 +290,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     Null and empty texts have no shingles and stand alone; equal sets are one component; a text of
     fewer than five words is one shingle. Rows that share a doc_id are rows of their own. Ties
-    fall to the smallest doc_id; a null doc_id stands alone unless its text has a partner. Extra
-    columns are ignored. An empty table gives an empty result. Nodes carry 64 bits of an MD5 of
+    fall to the smallest doc_id; a null doc_id stands alone unless its text has a partner, and is
+    no component's first unless all of its ids are null. Extra columns are ignored. An empty table gives an empty result. Nodes carry 64 bits of an MD5 of
     their sorted set.
     """
     scratch = Scratch(spark, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     signed = scratch.table(docs.mapInArrow(_sign, SIGNED), "signed")
     filled = signed.where("n_shingles > 0")
-    first = filled.groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "sketch")).alias("f"), F.count("*").alias("copies"))
+    by_id = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "sketch")
+    first = filled.groupBy("node").agg(F.min(by_id).alias("f"), F.count("*").alias("copies"))
     nodes = scratch.table(first.select("node", F.col("f.doc_id").alias("first_id"), F.col("f.text_key").alias("text_key"), "copies", F.col("f.sketch").alias("sketch")), "nodes")
 
     met = chosen_paths(nodes, scratch)
@@ -312,4 +315,4 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     of = scratch.table(ids.join(least.where("members > 1"), "root").select("node", "component_id"), "classes")
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of, "node", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
