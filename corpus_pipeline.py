@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from treeparity.llm.decontaminate import remove_hits
 from treeparity.llm.language import identify_language
 from treeparity.llm.mixing import mix_sources, mixed_rows
-from treeparity.llm.near_dedup import near_duplicates
+from treeparity.llm.near_dedup import near_duplicate_rows
 from treeparity.llm.sharding import hilbert_shards
 from treeparity.scratch import Scratch
 
@@ -22,14 +21,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest doc_id."""
-    kept = near_duplicates(spark, docs).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    kept = Scratch(spark, "kept").table(kept, "ids")
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
-    if not kept.where("_n > 1").isEmpty():  # rows that share an id
-        by_id = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-        left = left.withColumn("_r", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(by_id))).where("_r = 1")
-    return left.select(*[docs[c] for c in docs.columns])
+    """One row of each component of near duplicates stays: that with the smallest doc_id.
+
+    Of rows of that id, one of the text with the smallest hash stays, and of those that repeat its
+    text the first by all columns. A row without shingles stands alone and stays. Rows of one id in
+    different components each stay or go with their own component.
+    """
+    rows = near_duplicate_rows(spark, docs).where("kept")
+    one = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("text_key", "doc_id")).alias("k"), F.count("*").alias("_n"))
+    one = one.select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"), (F.col("_n") > 1).alias("_tied"))
+    alone = rows.where("component is null").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(False).alias("_tied")).distinct()
+    kept = Scratch(spark, "kept").table(one.unionByName(alone), "rows")
+    left = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
+    columns = [docs[c] for c in docs.columns]
+    if kept.where("_tied").isEmpty():
+        return left.select(*columns)
+    first = left.where("_tied").groupBy("_id", "_key").agg(F.min(F.struct(*columns)).alias("r")).select("r.*")
+    return left.where("not _tied").select(*columns).unionByName(first)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,14 @@ def test_pipeline_keeps_what_it_should(spark):
     assert abs(n(rows["mixing"]) - n(rows["decontamination"])) <= 20
     last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert last.count() == len(rows["mixing"]) and {"shard", "slot"} <= set(last.columns)
+
+
+def test_near_dedup_stage_decides_by_row(spark):
+    x, y, z = (" ".join(f"{p}{i}" for i in range(60)) for p in "xyz")
+    near = x.replace("x59", "n")
+    rows = [(3, x, "a"), (5, near, "b"), (5, y, "c"), (7, z, "d"), (7, z, "d"), (8, "one", "e"), (8, "two", "f"), (9, "", "g"), (None, "w", "h"), (None, "w", "h"), (None, "v", "i"), (None, y, "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(3, x, "a"), (5, y, "c"), (7, z, "d"), (8, "one", "e"), (8, "two", "f"), (9, "", "g"), (None, "w", "h"), (None, "v", "i")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)

@@ -294,6 +294,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     no component's first unless all of its ids are null. Extra columns are ignored. An empty table gives an empty result. Nodes carry 64 bits of an MD5 of
     their sorted set.
     """
+    return near_duplicate_rows(spark, docs, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_duplicate_rows(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_duplicates`` with text_key, xxhash64 of the text, and component, unlike in different components; null without shingles."""
     scratch = Scratch(spark, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     signed = scratch.table(docs.mapInArrow(_sign, SIGNED), "signed")
@@ -312,7 +317,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     ids = nodes.select("node", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = ids.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("members"))
-    of = scratch.table(ids.join(least.where("members > 1"), "root").select("node", "component_id"), "classes")
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of, "node", "left")
+    of = scratch.table(ids.join(least.where("members > 1"), "root").select("node", "component_id", "root"), "classes")
+    out = signed.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of, "node", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return out.select("doc_id", "n_shingles", "component_id", kept, "text_key", F.coalesce("root", "node").alias("component"))
