@@ -174,6 +174,25 @@ def test_fingerprints_estimate_and_classes(spark):
     assert sorted(tuple(r) for r in fingerprints.similar_classes(spark, df).collect()) == [(0, 0), (1, 0), (2, 2), (3, 3)]
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_classes_of_copies_that_meet_only_through_the_largest_id(spark, monkeypatch, block):
+    from treeparity.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    texts = {1000: base, 2000: [f"v{i}" for i in range(50)]}
+    for i in range(100):
+        spots = {40 * k + r.randrange(36) for k in range(9)}
+        texts[i] = [f"e{i}x{j}" if j in spots else w for j, w in enumerate(base)]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in texts.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(alike(i, 1000) >= 0.75 for i in range(100)) and all(alike(i, j) < 0.75 for i in range(100) for j in range(i))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = sorted(tuple(x) for x in fingerprints.similar_classes(spark, df).collect())
+    assert got == [*((i, 0) for i in range(100)), (1000, 0), (2000, 2000)]
+
+
 # 6: decontamination.
 
 

@@ -1,7 +1,7 @@
 """Document fingerprints: MinHash signatures in vectorised numpy, bands joined in Spark.
 
 A signature has ``HASHES`` values of 16 bits, minima of universal hash functions over 5-word
-shingles; the fraction of equal values estimates the Jaccard likeness. ``similar_pairs`` joins
+shingles; the fraction of equal values estimates the Jaccard likeness. ``similar_classes`` joins
 signature bands and verifies the likeness on the sets themselves.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import words
+from . import near_dedup, words
 from .components import components
 
 HASHES = 128
@@ -79,9 +79,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every id with the class it falls into: signature bands joined, Jaccard verified on full sets.
 
-    In each band, a document is verified against the smallest fingerprint's first document, so
-    that a band that a third of all documents share costs a comparison per document and not per
-    pair. Texts without words stand alone.
+    First, in each bucket of a band, every document is verified against that of the smallest id.
+    Then, in buckets whose members are still in different classes, the members are compared with
+    each other in blocks, as in ``near_dedup``, so that every link inside a bucket is found and a
+    bucket of copies costs a comparison per document and not per pair. Texts without words stand
+    alone. Ids are whole numbers, one for each document.
     """
     scratch = Scratch(spark, "fingerprints")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -93,7 +95,12 @@ def similar_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     text = own.select("id", "text")
     links = pairs.join(text.withColumnsRenamed({"id": "b", "text": "tb"}), "b").join(text.withColumnsRenamed({"id": "a", "text": "ta"}), "a").select("a", "b", "ta", "tb")
     links = scratch.table(links.mapInArrow(_verified, "a long, b long, jaccard double"), "links")
-    roots = components(links.select("a", "b"), scratch, "roots").withColumnRenamed("node", "id")
+    roots = components(links.select("a", "b"), scratch, "roots")
+    met = scratch.table(bands.join(first.select("band", "n"), "band").select(F.col("band").alias("key"), F.col("id").cast("long").alias("node"), "n"), "met")
+    packed = text.select(F.col("id").cast("long").alias("node"), "text").mapInArrow(near_dedup._pack, "node long, packed binary")
+    blocks = near_dedup.blocks_between(met, roots, scratch).join(packed, "node").select("key", "block", "node", "c", "packed")
+    more = scratch.table(blocks.groupBy("key", "block").applyInArrow(near_dedup._links_in_block, "a long, b long"), "more")
+    roots = near_dedup._contract(more, roots, scratch, "all").withColumnRenamed("node", "id")
     return own.select("id").join(roots, "id", "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("class_id"))
 
 

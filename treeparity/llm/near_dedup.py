@@ -246,6 +246,13 @@ def _between(met: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFram
     Small children are groups of their own. Of a large one, the members outside its most frequent
     component are compared with all members, in blocks; the rest is one component.
     """
+    rows = blocks_between(met, roots, scratch).join(nodes.select("node", "sketch"), "node")
+    able = scratch.table(rows.groupBy("key", "block").applyInArrow(_candidates_in_block, "key long, block int, node long"), "able")
+    return able.join(texts, "node").select("key", "block", "node", "packed").groupBy("key", "block").applyInArrow(_links_in_block, "a long, b long")
+
+
+def blocks_between(met: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, block, node, c, role) of the blocks in which members of different components c meet; see ``_between``."""
     labelled = met.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("c"))
     counts = labelled.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("main"), F.count("*").alias("k"))
     split = scratch.table(labelled.join(counts.where("k > 1").select("key", F.col("main.c").alias("main"), F.col("main.n").alias("most")), "key"), "between")
@@ -255,9 +262,7 @@ def _between(met: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFram
     visit = F.expr("transform(sequence(0, blocks - 1), i -> cast(pmod(xxhash64(node, 1), against) * blocks + i as int))")
     all_of = many.select("key", F.explode(meet).alias("block"), "node", "c", F.lit(2).alias("role"))
     some = many.where("outside").select("key", F.explode(visit).alias("block"), "node", "c", F.lit(1).alias("role"))
-    rows = few.unionByName(all_of).unionByName(some).join(nodes.select("node", "sketch"), "node")
-    able = scratch.table(rows.groupBy("key", "block").applyInArrow(_candidates_in_block, "key long, block int, node long"), "able")
-    return able.join(texts, "node").select("key", "block", "node", "packed").groupBy("key", "block").applyInArrow(_links_in_block, "a long, b long")
+    return few.unionByName(all_of).unionByName(some)
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
