@@ -68,6 +68,21 @@ def test_a_null_id_among_copies(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_trees_miss_few_pairs_that_go_on_to_the_last_coordinate(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF", 0)
+    monkeypatch.setattr(near_dedup, "SETTLED", 2)
+    r, n = random.Random(8), 1500
+    rows = []
+    for i in range(n):  # pairs at 0.75, alone with each other
+        x = [[r.randbytes(4) for _ in range(near_dedup.WIDE)], [r.randbytes(1) for _ in range(near_dedup.NARROW)]]
+        y = [[c if r.random() < 0.75 else r.randbytes(len(c)) for c in part] for part in x]
+        rows += [(2 * i + side, bytearray(b"".join(z[0] + z[1]))) for side, z in enumerate((x, y))]
+    nodes = spark.createDataFrame(rows, "node long, sketch binary")
+    met = near_dedup.chosen_paths(nodes, near_dedup.Scratch(spark, "recall"))
+    pairs = met.selectExpr("key", "node div 2 as pair").groupBy("key", "pair").count().where("count > 1").select("pair").distinct().count()
+    assert pairs >= n - 8
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(spark, df).count() == 0

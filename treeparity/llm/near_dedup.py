@@ -4,8 +4,10 @@ Documents are sets of 5-word shingles. Equal sets collapse to one node first. Ea
 MinHash sketch; in every tree a node's sets branch by one or two selected sketch coordinates, four
 thirds on average, so that two sets of the threshold's similarity meet in one child on average and
 closer ones in more. A child of at most ``LEAF`` members is compared exhaustively, a larger one
-branches again along a path of its own. ``TREES`` independent trees bring the recall of a pair at
-the threshold to 1 - 0.4**TREES after four coordinates, and of closer pairs far above that.
+branches again along a path of its own. The ``TREES`` trees are dealt over ``POOLS`` pools of
+coordinates that have none in common. By the exact sum over the coordinates of each pool that agree,
+all trees miss a pair at the threshold with a probability of 1.1e-3 if its paths go on to ten
+coordinates, 1.3e-4 after seven and 1.4e-6 after four, and one at 0.8 with 3.7e-5, 3.7e-6 and 3.2e-8.
 
 A child that keeps ``SETTLED`` of a large parent's members, or is large at the deepest level, is
 not split further; it is compared in blocks instead, so that no cap drops a link. Links are
@@ -35,7 +37,7 @@ from .components import components
 SHINGLE = 5
 #: Link where 100 * intersection >= 75 * union.
 PERCENT = 75
-TREES = 12
+TREES = 20
 LEAF = 8
 #: The first pass takes one coordinate, each further one ``STEPS``; no child of the first is a leaf.
 PASSES = 4
@@ -45,8 +47,10 @@ SETTLED = 0.5
 LEADERS = 2
 #: Members of a block that is compared with another in one task.
 BLOCK = 512
-#: A sketch has minima of 32 bits, by which trees branch, and more of 8 bits, which only count.
+#: A sketch has minima of 32 bits, by which the roots branch, and more of 8 bits.
 WIDE, NARROW = 40, 160
+#: A pool has every ``POOLS``-th coordinate. Fewer than 40 in a pool would let paths repeat them and split worse.
+POOLS = 5
 #: Coordinates on which two sketches agree at least: 4.5 standard deviations below the threshold.
 LEAST_AGREEMENT = 122
 #: From this agreement on, all of a node's candidates are as good, and one that others choose too is taken.
@@ -92,7 +96,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates_in_block(group: pa.Table) -> pa.Table:
-    """Rows (key, block, node) of one group that may link to another component's, by their sketches.
+    """Rows (key, block, node, c) of one group that may link to another component's, by their sketches.
 
     Rows of role 0 are compared with each other; otherwise those of role 1 with those of role 2.
     """
@@ -107,17 +111,18 @@ def _candidates_in_block(group: pa.Table) -> pa.Table:
         good = other[(wide[other] == wide[i]).sum(axis=1) + (narrow[other] == narrow[i]).sum(axis=1) >= LEAST_AGREEMENT]
         found[good] = True
         found[i] |= len(good) > 0
-    return group.select(["key", "block", "node"]).filter(pa.array(found))
+    return group.select(["key", "block", "node", "c"]).filter(pa.array(found))
 
 
 def _links_in_block(group: pa.Table) -> pa.Table:
-    """A forest (a, b) of the links between the texts of one group, all compared on their full sets.
+    """A forest (a, b) of the links between the components c of one group's texts, all compared on their full sets.
 
     Shingles of one text alone are in no intersection, and a text with too many of those has no
     link; intersections of the others are products of 0/1 matrices, some columns at a time.
     """
     node = np.asarray(group.column("node").combine_chunks())
     node, first = np.unique(node, return_index=True)
+    c = np.asarray(group.column("c").combine_chunks())[first]
     open_up = zstandard.ZstdDecompressor()
     packed = group.column("packed").take(pa.array(first)).to_pylist()
     sets = list(words.sets([open_up.decompress(x) for x in packed], SHINGLE))
@@ -140,14 +145,16 @@ def _links_in_block(group: pa.Table) -> pa.Table:
     link = (both > 0) & (100 * both >= PERCENT * (n[:, None] + n[None, :] - both))
     free, pairs = np.ones(len(sets), bool), []
     for seed in range(len(sets)):
-        reached = [seed] if free[seed] else []
-        free[seed] = False
+        reached = np.flatnonzero(free & (c == c[seed])).tolist() if free[seed] else []
+        free[reached] = False
         while reached:
             x = reached.pop()
-            new = np.flatnonzero(link[x] & free)
-            free[new] = False
-            pairs += [(int(node[x]), int(node[y])) for y in new]
-            reached += new.tolist()
+            for y in np.flatnonzero(link[x] & free).tolist():
+                if free[y]:  # with y come all of its component
+                    new = np.flatnonzero(free & (c == c[y]))
+                    free[new] = False
+                    pairs.append((int(node[x]), int(node[y])))
+                    reached += new.tolist()
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
@@ -173,21 +180,28 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64()))], names=["a", "b"])
 
 
+def _key(tree: str, *parts: str) -> str:
+    """SQL for a child's key, whose low five bits are its tree."""
+    return f"shiftleft(xxhash64({', '.join(parts)}), 5) | cast({tree} as bigint)"
+
+
 def _roots() -> list[F.Column]:
-    """The children of the trees' roots: the same coordinates for every node, no two alike as far as there are enough."""
-    rng = np.random.Generator(np.random.PCG64(11))
-    drawn = [int(c) for _ in range(1 + 2 * TREES // WIDE) for c in rng.permutation(WIDE)]
+    """The children of the trees' roots: wide coordinates of each tree, the same for every node."""
     keys = []
     for tree in range(TREES):
-        for _ in range(2 if tree % 3 == 0 else 1):
-            c = drawn.pop(0)
-            keys.append(F.xxhash64(F.lit(tree), F.lit(c), F.substring("sketch", 4 * c + 1, 4)))
+        for i in range(2 if tree % 3 == 0 else 1):
+            c = tree + i * TREES
+            keys.append(F.expr(_key(str(tree), str(c), f"substring(sketch, {4 * c + 1}, 4)")))
     return keys
 
 
 def _children(key: str) -> str:
-    """SQL for the array of a node's children: one coordinate, and with probability 1/3 a second, drawn by the path."""
-    child = [f"xxhash64({key}, {k}, substring(sketch, cast(4 * pmod(xxhash64({key}, {k}), {WIDE}) + 1 as int), 4))" for k in (1, 2)]
+    """SQL for the array of a node's children: one coordinate of the tree's pool, and with probability 1/3 a second, drawn by the path."""
+    child = []
+    for k in (1, 2):
+        c = f"({key} & 31) % {POOLS} + {POOLS} * pmod(xxhash64({key}, {k}), {(WIDE + NARROW) // POOLS})"
+        value = f"if({c} < {WIDE}, substring(sketch, cast(4 * ({c}) + 1 as int), 4), substring(sketch, cast({c} + {3 * WIDE + 1} as int), 1))"
+        child.append(_key(f"{key} & 31", key, str(k), value))
     return f"if(pmod(xxhash64({key}, 3), 3) = 0, array({', '.join(child)}), array({child[0]}))"
 
 
@@ -211,7 +225,7 @@ def chosen_paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         if depth:
             ended.append(met.where("ends").select("key", "node", "n"))
         if not deepest:
-            deeper = met.where("not ends").join(nodes.select("node", F.substring("sketch", 1, 4 * WIDE).alias("sketch")), "node")
+            deeper = met.where("not ends").join(nodes.select("node", "sketch"), "node")
             entries = deeper.select("node", F.explode(F.expr(_children_after(STEPS))).alias("key"), F.col("n").alias("above"))
     found = ended[0]
     for e in ended[1:]:
@@ -247,8 +261,8 @@ def _between(met: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFram
     component are compared with all members, in blocks; the rest is one component.
     """
     rows = blocks_between(met, roots, scratch).join(nodes.select("node", "sketch"), "node")
-    able = scratch.table(rows.groupBy("key", "block").applyInArrow(_candidates_in_block, "key long, block int, node long"), "able")
-    return able.join(texts, "node").select("key", "block", "node", "packed").groupBy("key", "block").applyInArrow(_links_in_block, "a long, b long")
+    able = scratch.table(rows.groupBy("key", "block").applyInArrow(_candidates_in_block, "key long, block int, node long, c long"), "able")
+    return able.join(texts, "node").select("key", "block", "node", "c", "packed").groupBy("key", "block").applyInArrow(_links_in_block, "a long, b long")
 
 
 def blocks_between(met: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
