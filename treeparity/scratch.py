@@ -33,14 +33,22 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         atexit.register(self.drop)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a DataFrame that reads it back."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_only(self, *names: str) -> None:
+        """Delete all tables but these, which a result still reads."""
+        for name in self.names - set(names):
+            self.drop(name)
+        self.names &= set(names)
+
     def drop(self, name: str = "") -> None:
         """Delete one table, or the whole folder."""
         try:
