@@ -86,3 +86,28 @@ def test_trees_miss_few_pairs_that_go_on_to_the_last_coordinate(spark, monkeypat
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(spark, df).count() == 0
+
+
+def test_sets_in_slices_link_as_whole_ones(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SET_BYTES", 900)
+    r = random.Random(9)
+    rows = []
+    for g in range(8):
+        base = [f"g{g}w{i}" for i in range(60)]
+        rows += [(10 * g + k, " ".join(edit(r, base, 0.03 * (k > 0)))) for k in range(6)]
+    import pyarrow as pa
+    import zstandard
+
+    packed = [zstandard.compress(t.encode()) for _, t in rows]
+    table = pa.table({"node": [i for i, _ in rows], "c": [i for i, _ in rows], "packed": packed})
+    monkeypatch.setattr(near_dedup, "SET_BYTES", 900)
+    some = near_dedup._links_in_block(table).to_pydict()
+    monkeypatch.setattr(near_dedup, "SET_BYTES", 64 << 20)
+    assert some == near_dedup._links_in_block(table).to_pydict() and some["a"]
+
+
+def test_very_long_texts(spark):
+    long = [f"w{i}" for i in range(400_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-9])), (3, " ".join(reversed(long))), (4, "w" * 3_000_000)]
+    got = sorted(tuple(x) for x in near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 399_996, 1, True), (2, 399_987, 1, False), (3, 399_996, 3, True), (4, 1, 4, True)]

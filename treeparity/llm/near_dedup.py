@@ -11,8 +11,10 @@ coordinates, 1.3e-4 after seven and 1.4e-6 after four, and one at 0.8 with 3.7e-
 
 A child that keeps ``SETTLED`` of a large parent's members, or is large at the deepest level, is
 not split further; it is compared in blocks instead, so that no cap drops a link. Links are
-confirmed on full sets, in two rounds: first each node's best candidate among a few leaders of its
-children, which costs a comparison or two a node, then, in children with members of different
+confirmed on full sets. First each node's best candidate among a few leaders of its children, which
+costs a comparison or two a node; once more, with other leaders, in children of ``CROWD`` members of
+several components, so that a large group of near copies, of which any two are linked with some
+probability, is one component but for a few. Then, in children with members of different
 components, all members whose sketches allow for a link to another component are compared in one
 task, which gives a forest of their links. So a group of copies that is one component already
 costs no comparison, and no step writes a row for each pair of a group.
@@ -45,10 +47,15 @@ STEPS = 3
 #: Share of a parent's members from which a child's are near copies: three coordinates at the threshold keep 0.42.
 SETTLED = 0.5
 LEADERS = 2
+#: Children of so many members or more get new leaders, ``ROUNDS`` times in all.
+CROWD = 16
+ROUNDS = 2
 #: Members of a block that is compared with another in one task.
 BLOCK = 512
 #: A sketch has minima of 32 bits, by which the roots branch, and more of 8 bits.
 WIDE, NARROW = 40, 160
+#: Bytes of hashes of one block's texts that are worked on at once.
+SET_BYTES = 64 << 20
 #: A pool has every ``POOLS``-th coordinate. Fewer than 40 in a pool would let paths repeat them and split worse.
 POOLS = 5
 #: Coordinates on which two sketches agree at least: 4.5 standard deviations below the threshold.
@@ -114,37 +121,58 @@ def _candidates_in_block(group: pa.Table) -> pa.Table:
     return group.select(["key", "block", "node", "c"]).filter(pa.array(found))
 
 
+def _hash_slices(packed: list[bytes]) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Set sizes of packed texts, and slices (owner, hash) of all sets by the hash's range.
+
+    One text is opened at a time, again for each slice, so that memory is bounded by ``SET_BYTES``
+    and a few times the longest text beside the packed texts, whatever their lengths.
+    """
+    open_up = zstandard.ZstdDecompressor()
+
+    def every() -> Iterator[np.ndarray]:
+        for i, j in words.blocks(packed, 1 << 19):
+            yield from words.sets([open_up.decompress(x) for x in packed[i:j]], SHINGLE)
+
+    sizes = np.array([len(x) for x in every()], np.int64)
+    n_slices = 1 + int(sizes.sum()) * 8 // SET_BYTES
+
+    def slices() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(n_slices):
+            low, high = (np.uint64(min((1 << 64) - 1, ((1 << 64) // n_slices) * m)) for m in (k, k + 1))
+            parts = [x[np.searchsorted(x, low) : np.searchsorted(x, high) if k + 1 < n_slices else len(x)] for x in every()]
+            yield np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate([*parts, np.zeros(0, np.uint64)])
+
+    return sizes, slices()
+
+
 def _links_in_block(group: pa.Table) -> pa.Table:
     """A forest (a, b) of the links between the components c of one group's texts, all compared on their full sets.
 
-    Shingles of one text alone are in no intersection, and a text with too many of those has no
-    link; intersections of the others are products of 0/1 matrices, some columns at a time.
+    Shingles of one text alone are in no intersection; intersections of the others are products of
+    0/1 matrices, some columns at a time, exact as a slice has less than 2**24 hashes.
     """
     node = np.asarray(group.column("node").combine_chunks())
     node, first = np.unique(node, return_index=True)
     c = np.asarray(group.column("c").combine_chunks())[first]
-    open_up = zstandard.ZstdDecompressor()
-    packed = group.column("packed").take(pa.array(first)).to_pylist()
-    sets = list(words.sets([open_up.decompress(x) for x in packed], SHINGLE))
-    n = np.array([len(x) for x in sets], np.int64)
-    values, at, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), n)
-    shared = count[at] > 1
-    keep = 100 * np.bincount(owner[shared], minlength=len(sets)) >= PERCENT * n
-    column = np.cumsum(count > 1) - 1
-    use = shared & keep[owner]
-    row, col = owner[use], column[at[use]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for start in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
-        i, j = np.searchsorted(col, [start, start + 4096])
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[row[i:j], col[i:j] - start] = 1
-        both += part @ part.T
+    n, slices = _hash_slices(group.column("packed").take(pa.array(first)).to_pylist())
+    both = np.zeros((len(n), len(n)))
+    for owner, hashes in slices:
+        _, at, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        column = np.cumsum(count > 1) - 1
+        shared = count[at] > 1
+        if len(hashes) == n.sum():  # the only slice: a text with too many shingles of its own has no link
+            shared &= (100 * np.bincount(owner[shared], minlength=len(n)) >= PERCENT * n)[owner]
+        row, col = owner[shared], column[at[shared]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for start in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+            i, j = np.searchsorted(col, [start, start + 4096])
+            part = np.zeros((len(n), 4096), np.float32)
+            part[row[i:j], col[i:j] - start] = 1
+            both += part @ part.T
     link = (both > 0) & (100 * both >= PERCENT * (n[:, None] + n[None, :] - both))
-    free, pairs = np.ones(len(sets), bool), []
-    for seed in range(len(sets)):
+    free, pairs = np.ones(len(n), bool), []
+    for seed in range(len(n)):
         reached = np.flatnonzero(free & (c == c[seed])).tolist() if free[seed] else []
         free[reached] = False
         while reached:
@@ -233,11 +261,15 @@ def chosen_paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return found
 
 
-def _with_leaders(met: DataFrame) -> DataFrame:
-    """Each member of a child with its leaders, the same ones in every tree, as pairs (a, b)."""
-    by_key = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-    leaders = met.withColumn("r", F.row_number().over(by_key)).where(f"r <= {LEADERS}").groupBy("key").agg(F.collect_set("node").alias("m"))
-    pairs = met.join(leaders, "key").select("node", F.explode("m").alias("leader")).where("node <> leader")
+def _with_leaders(members: DataFrame, draw: int) -> DataFrame:
+    """Each member (key, node, c) of a child with those of its leaders that are of another component c, as pairs (a, b).
+
+    Leaders are those of the smallest hash of this draw, the same ones in every tree.
+    """
+    by_key = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(draw)), "node")
+    first = members.withColumn("r", F.row_number().over(by_key)).where(f"r <= {LEADERS}")
+    leaders = first.select("key", F.col("node").alias("leader"), F.col("c").alias("of"))
+    pairs = members.join(leaders, "key").where("c <> of")
     return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
@@ -328,15 +360,21 @@ def near_duplicate_rows(spark: SparkSession, docs: DataFrame, id_col: str = "doc
 
     met = chosen_paths(nodes, scratch)
     texts = scratch.table(_texts(docs, nodes.join(met.select("node").distinct(), "node", "left_semi")), "texts")
-    pairs = scratch.table(_screen(_with_leaders(met), nodes), "pairs")
-    links = scratch.table(_confirmed(_best(pairs), texts), "links-1")
-    roots = components(links, scratch, "roots-1")
-    more = scratch.table(_between(met, roots, nodes, texts, scratch), "links-2")
-    roots = _contract(more, roots, scratch, "roots-2")
+    pairs = scratch.table(_screen(_with_leaders(met.withColumn("c", F.col("node")), 0), nodes), "pairs-0")
+    links = scratch.table(_confirmed(_best(pairs), texts), "links-0")
+    roots = components(links, scratch, "roots-0")
+    for r in range(1, ROUNDS):
+        crowds = met.where(f"n >= {CROWD}").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("c"))
+        pairs = scratch.table(_screen(_with_leaders(crowds, r), nodes), f"pairs-{r}")
+        links = scratch.table(_confirmed(_best(pairs), texts), f"links-{r}")
+        roots = _contract(links, roots, scratch, f"roots-{r}")
+    more = scratch.table(_between(met, roots, nodes, texts, scratch), "links-last")
+    roots = _contract(more, roots, scratch, "roots-last")
 
     ids = nodes.select("node", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = ids.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("members"))
     of = scratch.table(ids.join(least.where("members > 1"), "root").select("node", "component_id", "root"), "classes")
+    scratch.keep_only("signed", "classes")
     out = signed.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of, "node", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
