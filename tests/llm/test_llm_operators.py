@@ -140,38 +140,58 @@ def test_mixed_rows_have_the_words(spark):
 # 5: fingerprints.
 
 
-def test_edited_likeness(spark, hostile, monkeypatch):
-    monkeypatch.setattr(fingerprints, "GROUP_BYTES", 2000)
+def brute_signature(text):
+    minhash = words.MinHash(fingerprints.HASHES, seed=29)
+    shingles = [int(h) for x in words.sets([text.encode()]) for h in x]
+    return [min(((int(a) * h + int(b)) % (1 << 64) >> 32 for h in shingles), default=0xFFFFFFFF) & 0xFFFF for a, b in zip(minhash.a, minhash.b, strict=True)]
+
+
+def spread_ids():
+    """Ids beyond 2**53, negative ones, and one that a third of the rows have."""
+    return [*(2**60 + 1237 * i + 1 for i in range(120)), *(-(2**62) + 3 * i for i in range(60)), *range(1, 40), *[2**61 + 5] * 100, None, None]
+
+
+@pytest.mark.parametrize("ids", [[i * 3 for i in range(200)] + [30, 31], spread_ids(), [None] * 40, [7] * 40 + [9]])
+def test_edited_likeness(spark, hostile, monkeypatch, ids):
+    monkeypatch.setattr(fingerprints, "GROUP_BYTES", 1000)
     r = random.Random(8)
-    rows = [(i * 3, "".join(r.choice("abc dé\n") for _ in range(r.choice([0, 3, 50, 700])))) for i in range(200)]
-    rows += [(30, "tied"), (31, None)]
+    rows = [(i, "".join(r.choice("abc dé\n") for _ in range(r.choice([0, 3, 50, 700])))) for i in ids] + [(ids[-1], None)]
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, zlib.crc32(x[1].encode())))
     r.shuffle(rows)
-    got = sorted(tuple(x) for x in fingerprints.edited_likeness(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    order = sorted((i, t or "") for i, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprints.edited_likeness(spark, df).collect()
     want, prints = [], {}
     for k, (i, t) in enumerate(order):
         follow = order[(k + 1) % len(order)][1]
         cut = len(t) // 4
-        want.append((i, len(t), hashlib.sha256((t[: len(t) - cut] + follow[:cut]).encode()).hexdigest()))
-    assert sorted(g[:3] for g in got) == sorted(want)
-    for g, (_, t) in zip(sorted(got, key=lambda g: g[:2]), sorted(order, key=lambda o: (o[0], len(o[1]))), strict=True):
-        assert prints.setdefault(t, g[3]) == g[3]
-        assert 0 <= g[5] <= 1 and 0 <= g[6] <= 1
-    assert fingerprints.edited_likeness(spark, hostile).count() == len(HOSTILE)
-    assert fingerprints.edited_likeness(spark, none_of(hostile)).count() == 0
+        edited = t[: len(t) - cut] + follow[:cut]
+        for x in (t, edited, follow):
+            if x not in prints:
+                prints[x] = brute_signature(x)
+        like = lambda a, b: sum(x == y for x, y in zip(prints[a], prints[b], strict=True)) / fingerprints.HASHES
+        hexed = lambda a: "".join(f"{v:04x}" for v in prints[a])
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed(t), hexed(edited), like(t, edited), like(t, follow)))
+    mine = [tuple(x[k] for k in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")) for x in got]
+    assert sorted(mine, key=repr) == sorted(want, key=repr)
+
+
+def test_fingerprints_of_hostile_rows(spark, hostile):
+    assert fingerprints.edited_likeness(spark, hostile).count() == fingerprints.op5_query(spark, hostile).count() == len(HOSTILE)
+    assert fingerprints.op5_query(spark, none_of(hostile)).count() == 0
     one = fingerprints.edited_likeness(spark, spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")).first()
     assert one["n_chars"] == 7 and one["near_next"] == 1.0
 
 
 def test_fingerprints_estimate_and_classes(spark):
     base = [f"w{i}" for i in range(400)]
-    texts = [" ".join(base), " ".join(base[:390] + ["x"] * 10), " ".join(f"v{i}" for i in range(400)), ""]
-    s = fingerprints.signatures([t.encode() for t in texts])
-    sets = list(words.sets([t.encode() for t in texts]))
+    texts = [" ".join(base), " ".join(base[:390] + ["x"] * 10), " ".join(f"v{i}" for i in range(400)), "", " ".join(base), None]
+    s = fingerprints.signatures([(t or "").encode() for t in texts])
+    sets = list(words.sets([(t or "").encode() for t in texts]))
     real = len(np.intersect1d(sets[0], sets[1])) / len(np.union1d(sets[0], sets[1]))
     assert abs(fingerprints.likeness(s[:1], s[1:2])[0] - real) < 0.1 and fingerprints.likeness(s[:1], s[2:3])[0] < 0.05
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(tuple(r) for r in fingerprints.similar_classes(spark, df).collect()) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+    df = spark.createDataFrame([(i + 10, t) for i, t in enumerate(texts)] + [(None, " ".join(base))], "doc_id long, text string")
+    got = fingerprints.op5_query(spark, df).select("doc_id", "class_id").collect()
+    assert sorted(map(tuple, got), key=repr) == [(10, 10), (11, 10), (12, 12), (13, 13), (14, 10), (15, 15), (None, 10)]
 
 
 @pytest.mark.parametrize("block", [512, 16])
@@ -189,10 +209,23 @@ def test_classes_of_copies_that_meet_only_through_the_largest_id(spark, monkeypa
     alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     assert all(alike(i, 1000) >= 0.75 for i in range(100)) and all(alike(i, j) < 0.75 for i in range(100) for j in range(i))
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
-    got = sorted(tuple(x) for x in fingerprints.similar_classes(spark, df).collect())
+    got = sorted(tuple(x) for x in fingerprints.op5_query(spark, df).select("doc_id", "class_id").collect())
     assert got == [*((i, 0) for i in range(100)), (1000, 0), (2000, 2000)]
 
 
+def test_classes_join_almost_all_pairs_at_the_threshold(spark):
+    r, rows, n = random.Random(12), [], 400
+    for i in range(n):  # 95 shingles in common of 126: 0.754
+        w = [f"p{i}w{k}" for k in range(115)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-16], *(f"q{i}w{k}" for k in range(15))]))]
+    sets = [set(x.tolist()) for x in words.sets([t.encode() for _, t in rows[:2]])]
+    assert 0.75 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.76
+    r.shuffle(rows)
+    got = fingerprints.op5_query(spark, spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id").collect()
+    joined = sum(x["doc_id"] % 2 == 1 and x["class_id"] == x["doc_id"] - 1 for x in got)
+    assert joined >= 0.98 * n and all(x["class_id"] // 2 == x["doc_id"] // 2 for x in got)
+
+
 # 6: decontamination.
 
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -58,10 +59,6 @@ WIDE, NARROW = 40, 160
 SET_BYTES = 64 << 20
 #: A pool has every ``POOLS``-th coordinate. Fewer than 40 in a pool would let paths repeat them and split worse.
 POOLS = 5
-#: Coordinates on which two sketches agree at least: 4.5 standard deviations below the threshold.
-LEAST_AGREEMENT = 122
-#: From this agreement on, all of a node's candidates are as good, and one that others choose too is taken.
-SURE_AGREEMENT = 164
 SIGNED = "doc_id long, text_key long, node long, n_shingles long, sketch binary"
 
 
@@ -87,38 +84,53 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 * WIDE + NARROW)
-    return np.ascontiguousarray(raw[:, : 4 * WIDE]).view(np.uint32), raw[:, 4 * WIDE :]
+@dataclass(frozen=True)
+class Sketch:
+    """Minima as they are stored: numpy types and how many of each.
 
-
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b, sa, sb) whose sketches agree on enough coordinates."""
-    for batch in batches:
-        if batch.num_rows:
-            (xw, xn), (yw, yn) = _sketches(batch.column(2)), _sketches(batch.column(3))
-            agree = (xw == yw).sum(axis=1) + (xn == yn).sum(axis=1)
-            keep = np.flatnonzero(agree >= LEAST_AGREEMENT)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(agree[keep], pa.int32())], names=["a", "b", "agree"])
-
-
-def _candidates_in_block(group: pa.Table) -> pa.Table:
-    """Rows (key, block, node, c) of one group that may link to another component's, by their sketches.
-
-    Rows of role 0 are compared with each other; otherwise those of role 1 with those of role 2.
+    Two sketches agree on ``least`` coordinates at least: 4.5 standard deviations below the
+    threshold. From ``sure`` on, all of a node's candidates are as good, and one that others choose
+    too is taken.
     """
-    group = group.combine_chunks()
-    column = lambda name: np.asarray(group.column(name))
-    node, c, role = column("node"), column("c"), column("role")
-    wide, narrow = _sketches(group.column("sketch"))
-    right = np.flatnonzero(role != 1)
-    found = np.zeros(len(node), bool)
-    for i in np.flatnonzero(role != 2):
-        other = right[c[right] != c[i]]
-        good = other[(wide[other] == wide[i]).sum(axis=1) + (narrow[other] == narrow[i]).sum(axis=1) >= LEAST_AGREEMENT]
-        found[good] = True
-        found[i] |= len(good) > 0
-    return group.select(["key", "block", "node", "c"]).filter(pa.array(found))
+
+    parts: tuple[tuple[str, int], ...]
+    least: int
+    sure: int
+
+    def rows(self, column: pa.Array) -> list[np.ndarray]:
+        widths = [np.dtype(t).itemsize * n for t, n in self.parts]
+        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, sum(widths))
+        ends = np.cumsum(widths)
+        return [np.ascontiguousarray(raw[:, e - w : e]).view(t) for (t, _), w, e in zip(self.parts, widths, ends, strict=True)]
+
+    def agreeing(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates (a, b, sa, sb) whose sketches agree on enough coordinates."""
+        for batch in batches:
+            if batch.num_rows:
+                agree = sum((x == y).sum(axis=1) for x, y in zip(self.rows(batch.column(2)), self.rows(batch.column(3)), strict=True))
+                keep = np.flatnonzero(agree >= self.least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(agree[keep], pa.int32())], names=["a", "b", "agree"])
+
+    def candidates_in_block(self, group: pa.Table) -> pa.Table:
+        """Rows (key, block, node, c) of one group that may link to another component's.
+
+        Rows of role 0 are compared with each other; otherwise those of role 1 with those of role 2.
+        """
+        group = group.combine_chunks()
+        column = lambda name: np.asarray(group.column(name))
+        node, c, role = column("node"), column("c"), column("role")
+        parts = self.rows(group.column("sketch"))
+        right = np.flatnonzero(role != 1)
+        found = np.zeros(len(node), bool)
+        for i in np.flatnonzero(role != 2):
+            other = right[c[right] != c[i]]
+            good = other[sum((x[other] == x[i]).sum(axis=1) for x in parts) >= self.least]
+            found[good] = True
+            found[i] |= len(good) > 0
+        return group.select(["key", "block", "node", "c"]).filter(pa.array(found))
+
+
+SKETCH = Sketch((("<u4", WIDE), ("u1", NARROW)), least=122, sure=164)
 
 
 def _hash_slices(packed: list[bytes]) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
@@ -186,7 +198,7 @@ def _links_in_block(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) to (node, text as zstd)."""
     squeeze = zstandard.ZstdCompressor(level=1)
     for batch in batches:
@@ -273,31 +285,35 @@ def _with_leaders(members: DataFrame, draw: int) -> DataFrame:
     return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def _screen(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _screen(pairs: DataFrame, nodes: DataFrame, sketch: Sketch) -> DataFrame:
     """The pairs whose sketches agree, with the number of coordinates."""
     x = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
     y = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long, agree int")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(sketch.agreeing, "a long, b long, agree int")
 
 
-def _best(pairs: DataFrame) -> DataFrame:
+def _best(pairs: DataFrame, sure: int) -> DataFrame:
     """A candidate (a, b) of each node: the surest, among sure ones that of the greatest hash, so that near copies choose the same."""
-    ends = [pairs.select(F.col(x).alias("node"), F.struct(F.least("agree", F.lit(SURE_AGREEMENT)).alias("sure"), F.xxhash64(y).alias("h"), "a", "b").alias("p")) for x, y in (("a", "b"), ("b", "a"))]
+    ends = [pairs.select(F.col(x).alias("node"), F.struct(F.least("agree", F.lit(sure)).alias("sure"), F.xxhash64(y).alias("h"), "a", "b").alias("p")) for x, y in (("a", "b"), ("b", "a"))]
     return ends[0].union(ends[1]).groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
 
 
-def _between(met: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _between(met: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, sketch: Sketch) -> DataFrame:
     """Links (a, b) between members of one child that are in different components, enough to join them.
 
     Small children are groups of their own. Of a large one, the members outside its most frequent
     component are compared with all members, in blocks; the rest is one component.
     """
-    rows = blocks_between(met, roots, scratch).join(nodes.select("node", "sketch"), "node")
-    able = scratch.table(rows.groupBy("key", "block").applyInArrow(_candidates_in_block, "key long, block int, node long, c long"), "able")
+
+    def candidates_in_block(group: pa.Table) -> pa.Table:
+        return sketch.candidates_in_block(group)
+
+    rows = _blocks_between(met, roots, scratch).join(nodes.select("node", "sketch"), "node")
+    able = scratch.table(rows.groupBy("key", "block").applyInArrow(candidates_in_block, "key long, block int, node long, c long"), "able")
     return able.join(texts, "node").select("key", "block", "node", "c", "packed").groupBy("key", "block").applyInArrow(_links_in_block, "a long, b long")
 
 
-def blocks_between(met: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+def _blocks_between(met: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, block, node, c, role) of the blocks in which members of different components c meet; see ``_between``."""
     labelled = met.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("c"))
     counts = labelled.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("main"), F.count("*").alias("k"))
@@ -311,11 +327,11 @@ def blocks_between(met: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFr
     return few.unionByName(all_of).unionByName(some)
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def first_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, packed) of the first document of each node; rows that repeat its id and text are one."""
     first = nodes.select("node", F.col("first_id"), F.col("text_key").alias("first_key"), (F.col("copies") > 1).alias("many"))
     found = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")))
-    packed = lambda rows: rows.select("node", "text").mapInArrow(_pack, "node long, packed binary")
+    packed = lambda rows: rows.select("node", "text").mapInArrow(pack, "node long, packed binary")
     return packed(found.where("not many")).unionByName(packed(found.where("many")).groupBy("node").agg(F.min("packed").alias("packed")))
 
 
@@ -336,20 +352,38 @@ def _contract(links: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -
     return scratch.table(moved.unionByName(merged.join(roots, "node", "left_anti")), f"{name}-all")
 
 
+def join_members(met: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, sketch: Sketch) -> DataFrame:
+    """(node, root) of the components of all links between nodes that are members (key, node, n) of one group.
+
+    nodes: (node, sketch); texts: (node, packed), one row for each member. Every pair of members of
+    different components whose sketches allow for a link is compared on its full sets.
+    """
+    pairs = scratch.table(_screen(_with_leaders(met.withColumn("c", F.col("node")), 0), nodes, sketch), "pairs-0")
+    links = scratch.table(_confirmed(_best(pairs, sketch.sure), texts), "links-0")
+    roots = components(links, scratch, "roots-0")
+    for r in range(1, ROUNDS):
+        crowds = met.where(f"n >= {CROWD}").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("c"))
+        pairs = scratch.table(_screen(_with_leaders(crowds, r), nodes, sketch), f"pairs-{r}")
+        links = scratch.table(_confirmed(_best(pairs, sketch.sure), texts), f"links-{r}")
+        roots = _contract(links, roots, scratch, f"roots-{r}")
+    more = scratch.table(_between(met, roots, nodes, texts, scratch, sketch), "links-last")
+    return _contract(more, roots, scratch, "roots-last")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     Null and empty texts have no shingles and stand alone; equal sets are one component; a text of
     fewer than five words is one shingle. Rows that share a doc_id are rows of their own. Ties
     fall to the smallest doc_id; a null doc_id stands alone unless its text has a partner, and is
-    no component's first unless all of its ids are null. Extra columns are ignored. An empty table gives an empty result. Nodes carry 64 bits of an MD5 of
-    their sorted set.
+    no component's first unless all of its ids are null. Extra columns are ignored. An empty table
+    gives an empty result. Nodes carry 64 bits of an MD5 of their sorted set.
     """
     return near_duplicate_rows(spark, docs, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def near_duplicate_rows(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``near_duplicates`` with text_key, xxhash64 of the text, and component, unlike in different components; null without shingles."""
+    """``near_duplicates`` (see there) with text_key, xxhash64 of the text, and component, unlike in different components; null without shingles."""
     scratch = Scratch(spark, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     signed = scratch.table(docs.mapInArrow(_sign, SIGNED), "signed")
@@ -359,17 +393,8 @@ def near_duplicate_rows(spark: SparkSession, docs: DataFrame, id_col: str = "doc
     nodes = scratch.table(first.select("node", F.col("f.doc_id").alias("first_id"), F.col("f.text_key").alias("text_key"), "copies", F.col("f.sketch").alias("sketch")), "nodes")
 
     met = chosen_paths(nodes, scratch)
-    texts = scratch.table(_texts(docs, nodes.join(met.select("node").distinct(), "node", "left_semi")), "texts")
-    pairs = scratch.table(_screen(_with_leaders(met.withColumn("c", F.col("node")), 0), nodes), "pairs-0")
-    links = scratch.table(_confirmed(_best(pairs), texts), "links-0")
-    roots = components(links, scratch, "roots-0")
-    for r in range(1, ROUNDS):
-        crowds = met.where(f"n >= {CROWD}").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("c"))
-        pairs = scratch.table(_screen(_with_leaders(crowds, r), nodes), f"pairs-{r}")
-        links = scratch.table(_confirmed(_best(pairs), texts), f"links-{r}")
-        roots = _contract(links, roots, scratch, f"roots-{r}")
-    more = scratch.table(_between(met, roots, nodes, texts, scratch), "links-last")
-    roots = _contract(more, roots, scratch, "roots-last")
+    texts = scratch.table(first_texts(docs, nodes.join(met.select("node").distinct(), "node", "left_semi")), "texts")
+    roots = join_members(met, nodes, texts, scratch, SKETCH)
 
     ids = nodes.select("node", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = ids.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("members"))
