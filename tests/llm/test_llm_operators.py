@@ -1,7 +1,9 @@
 import hashlib
 import os
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -305,6 +307,82 @@ def test_extraction_by_join_is_the_same(spark, monkeypatch):
     assert sorted(map(tuple, html_text.extract_text(spark, df).collect())) == once
 
 
+class Plain(HTMLParser):
+    """An independent extractor for well-formed pages: text of blocks inside the article."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.blocks, self.words = [], [], []
+
+    def block(self):
+        text = " ".join("".join(self.words).split())
+        if text and "article" in self.open and not {"form", "aside", "script", "style", "nav"} & set(self.open):
+            self.blocks.append(text)
+        self.words = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.words.append(" ")
+        elif tag not in ("b", "a"):
+            self.block()
+        if tag != "br":
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a"):
+            self.block()
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.words.append(data)
+
+
+def random_page(r):
+    def words_():
+        return "".join(r.choice(["word", "&amp;", "&#233;t&eacute;", "x < y", "a  \n b", "&nbsp;", "<b>bold</b>", "<br>", "<a href='/'>l</a>"]) + " " for _ in range(r.randrange(12)))
+
+    def tree(depth):
+        if not depth:
+            return words_()
+        script = "<div></div><script>var x = '<p>';</script><div></div>"
+        return "".join((script if t == "script" else f"<{t}>{tree(depth - 1)}</{t}>") + words_() for t in r.choices(["p", "div", "section", "form", "aside", "h2", "blockquote", "script", "ul"], k=r.randrange(4)) if not (t == "p" and depth > 1))
+
+    return f"<!DOCTYPE html><html><head><title>{words_()}</title></head><body><nav>{words_()}</nav><article><p>{'long enough ' * 30}</p>{tree(3)}</article><footer>{words_()}</footer></body></html>"
+
+
+def test_extraction_equals_another_parser():
+    r = random.Random(10)
+    for _ in range(300):
+        page = random_page(r).replace("x < y", "x &lt; y")
+        other = Plain()
+        other.feed(page)
+        assert html_text.extract(page) == "\n".join(other.blocks), page
+
+
+def test_doubtful_classes_go_by_the_host(spark):
+    inside = '<section class="share-prices"><p>prices fell</p></section><div class="related-work">others wrote</div><div class="search-results">found nine</div><p class="notice">take care</p>'
+    page = "<body><article><h1>t</h1><p>body {i} is a text of its own</p>{more}<div class='related-posts'>more here</div><div class='site-note share-bar'>share</div></article></body>"
+    rows = [(i, f"http://one.com/{i}", page.format(i=i, more=inside if i == 0 else '<p class="notice">cookies!</p>')) for i in range(5)]
+    rows += [(10 + i, "http://copies.com/x", page.format(i=1, more=inside)) for i in range(5)]
+    got = {r["page_id"]: r["text"].split("\n") for r in html_text.extract_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    kept = ["prices fell", "others wrote", "found nine", "take care"]
+    assert got[0] == ["t", "body 0 is a text of its own", *kept] and got[3] == ["t", "body 3 is a text of its own"]
+    assert all(got[10 + i] == ["t", "body 1 is a text of its own", *kept] for i in range(5))
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 100_000 + "end", "<div>x" * 100_000, "<p x='" * 150_000, '<a b="' * 150_000 + ">", "<script>" + "</script " * 100_000, "<!--" * 250_000, "<" * 1_000_000, "<x>" * 100_000 + "</y>" * 100_000, "<li><x>" * 60_000, f"<div {'a' * 1_000_000}=1>t</div>", "&#" + "9" * 500_000 + ";", "<b hidden>" * 60_000 + "</b>" * 60_000, "<p>" + "x" * 1_000_000])
+def test_hostile_pages_take_little_time(page):
+    began = time.perf_counter()
+    text = html_text.extract(page)
+    assert time.perf_counter() - began < 8 and len(text) <= len(page)
+
+
+def test_hosts(spark):
+    urls = {"http://Bad.com./x": "bad.com", "http://[::1]:80/": "[::1]", "//bad.com/x": "bad.com", "https://a@b:c@bad.com:8/": "bad.com", "bad.com/x": "", "mailto:x": "", "http:///x": "", None: ""}
+    df = spark.createDataFrame([(u,) for u in urls], "url string").select("url", html_text.host_of().alias("h"))
+    assert {r["url"]: r["h"] for r in df.collect()} == urls
+
+
 # 9: licences.
 
 

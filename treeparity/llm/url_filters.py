@@ -73,7 +73,7 @@ def op2_query(pages: DataFrame) -> DataFrame:
 
 OP2_SQL = r"""
 WITH c AS (
-  SELECT page_id, coalesce(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+  SELECT page_id, coalesce(regexp_replace(lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]+)', 1)), '\.+$', ''), '') AS host,
          DATE '2024-01-01' + CAST(page_id % 400 AS INTEGER) AS fetched_on
   FROM pages),
 hosts AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM c WHERE host <> ''),
