@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import words
+from . import columns, words
 
 #: Winning paths and repeated blocks of hosts are broadcast up to so many (some 100 bytes each).
 BROADCAST_HOSTS = 50_000
@@ -381,29 +381,18 @@ def extract_text(spark: SparkSession, pages: DataFrame, url_col: str = "url", ht
     each, but a page and its copies are one page for what repeats on a host.
     """
     scratch = Scratch(spark, "html")
-    own = [c for c in pages.columns if c.lower() != "text" and c != html_col]
+    own = [c for c in columns.others(pages, "text") if c != html_col]
     winners = scratch.table(host_winners(pages, url_col, html_col), "winners")
-    schema = pages.select(*[F.col(f"`{c}`") for c in own]).withColumn("text", F.lit("")).schema
+    schema = pages.select(*map(columns.column, own)).withColumn("text", F.lit("")).schema
     for f in schema.fields:
         f.nullable = True
-    packed = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(0).alias("none"))
-    rows = pages.select(packed.alias("row"), host_of(url_col).alias("host"), F.col(html_col).alias("html"))
+    rows = pages.select(columns.packed(own), host_of(url_col).alias("host"), F.col(html_col).alias("html"))
     if (winners.agg(F.sum(1 + F.size("blocks"))).first()[0] or 0) <= BROADCAST_HOSTS:
         known = spark.sparkContext.broadcast({r[0]: (r[1], frozenset(r[2])) for r in winners.collect()})
-        flat = rows.select(*[F.col("row").getField(c).alias(c) for c in own], "host", "html")
-        return flat.toDF(*own, *_apart(own, 2)).mapInArrow(_extract(known, own), schema)
-    joined = rows.join(winners, "host", "left").select(*[F.col("row").getField(c).alias(c) for c in own], "host", "html", "path", "blocks")
-    return joined.toDF(*own, *_apart(own, 4)).mapInArrow(_extract(None, own), schema)
-
-
-def _apart(names: list[str], n: int) -> list[str]:
-    """n names that none of ``names`` is, whatever its case."""
-    taken, found, i = {x.lower() for x in names}, [], 0
-    while len(found) < n:
-        if (name := f"_{i}") not in taken:
-            found.append(name)
-        i += 1
-    return found
+        flat = rows.select(*columns.unpacked(own), "host", "html")
+        return flat.toDF(*own, *columns.apart(own, 2)).mapInArrow(_extract(known, own), schema)
+    joined = rows.join(winners, "host", "left").select(*columns.unpacked(own), "host", "html", "path", "blocks")
+    return joined.toDF(*own, *columns.apart(own, 4)).mapInArrow(_extract(None, own), schema)
 
 
 def op8_query(spark: SparkSession, pages: DataFrame) -> DataFrame:
