@@ -9,6 +9,8 @@ a larger benchmark takes several passes, each written to the shared folder.
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,11 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import words
+from . import columns, words
 
 WINDOW = 10
 #: Benchmark text that one broadcast holds at most; a longer single item is a block of its own.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 _DELIMITERS_TO_SPACE = bytes(32 if d else int(c) for d, c in zip(words.ALNUM.delim, words.ALNUM.lower, strict=True))
 
@@ -31,50 +33,84 @@ def _words(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """Windows of items by their length in words; which items hold each."""
+    """Windows of items by their length in words, in arrays: some 30 bytes for each word of the items.
+
+    A window is a hash, the number of its first word among all words and its item; the words
+    themselves lie in one buffer, in which every hit is verified.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        found: dict[int, dict[bytes, set[str]]] = {}
-        for item, text in items:
-            w = _words(text)
-            k = min(window, len(w))
-            for i in range(len(w) - k + 1 if w else 0):
-                found.setdefault(k, {}).setdefault(b" ".join(w[i : i + k]), set()).add(item)
+        self.names = [item for item, _ in items]
+        texts = [b" ".join(_words(text)) for _, text in items]
+        self.buffer = b"\n".join(texts)
+        raw = np.frombuffer(b"\n" + self.buffer + b"\n", np.uint8)
+        edges = np.flatnonzero(np.diff(((raw == 32) | (raw == 10)).astype(np.int8)))
+        self.start, self.end = edges[0::2].astype(np.int64), edges[1::2].astype(np.int64)
+        h, counts = words.hash_words(texts, words.ALNUM)
+        begins = np.cumsum(counts) - counts
         self.by_length = {}
-        for k, grams in found.items():
-            texts = list(grams)
-            h, counts = words.hash_words(texts, words.ALNUM)
-            hashes = words.windows(h, k)[np.cumsum(counts) - counts]
-            seen = np.zeros(1 << 22, bool)
-            seen[hashes >> np.uint64(42)] = True
-            self.by_length[k] = (np.sort(hashes), seen, grams)
+        for k in sorted(set(np.minimum(counts, window).tolist()) - {0}):
+            mine = np.flatnonzero(np.minimum(counts, window) == k)
+            n = counts[mine] - k + 1
+            item = np.repeat(mine, n).astype(np.int32)
+            first = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n) + begins[item]
+            hashes = words.windows(h, k)[first]
+            order = np.argsort(hashes, kind="stable")
+            hashes = hashes[order]
+            shift = np.uint64(64 - min(22, max(10, len(hashes).bit_length() + 3)))
+            seen = np.zeros(1 << (64 - int(shift)), bool)
+            seen[hashes >> shift] = True
+            self.by_length[k] = (hashes, seen, shift, first[order], item[order])
+
+    def holders(self, k: int, at: int, to: int) -> dict[bytes, set[str]]:
+        """Items by window, of the windows ``at`` to ``to``, which have one hash."""
+        first, item = self.by_length[k][3:]
+        found: dict[bytes, set[str]] = {}
+        for f, i in zip(first[at:to].tolist(), item[at:to].tolist(), strict=True):
+            found.setdefault(self.buffer[self.start[f] : self.end[f + k - 1]], set()).add(self.names[i])
+        return found
 
     def scan(self, texts: list[bytes]) -> Iterator[tuple[int, int, dict[int, int], set[str]]]:
         """For each text: its words, hits as first word -> words, and items; positions are word indexes."""
         h, counts = words.hash_words(texts, words.ALNUM)
         ends = np.cumsum(counts)
         owner_end = np.repeat(ends, counts)
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for k, (hashes, seen, _) in self.by_length.items():
+        hits: dict[int, list[tuple[int, int, int]]] = {}
+        known: dict[tuple[int, int], dict[bytes, set[str]]] = {}
+        for k, (hashes, seen, shift, _, _) in self.by_length.items():
             w = words.windows(h, k)
-            at = np.flatnonzero(seen[w >> np.uint64(42)])
+            at = np.flatnonzero(seen[w >> shift])
             at = at[at + k <= owner_end[at]]
-            pos = np.minimum(np.searchsorted(hashes, w[at]), len(hashes) - 1)
-            at = at[hashes[pos] == w[at]]
-            for doc, first in zip(np.searchsorted(ends, at, side="right"), at, strict=True):
-                hits.setdefault(int(doc), []).append((int(first - ends[doc] + counts[doc]), k))
+            low = np.searchsorted(hashes, w[at])
+            same = hashes[np.minimum(low, len(hashes) - 1)] == w[at]
+            at, low = at[same], low[same]
+            for pos, value in zip(*np.unique(low, return_index=True), strict=True):
+                known[k, int(pos)] = self.holders(k, int(pos), int(np.searchsorted(hashes, w[at[value]], side="right")))
+            for doc, first, pos in zip(np.searchsorted(ends, at, side="right").tolist(), at.tolist(), low.tolist(), strict=True):
+                hits.setdefault(doc, []).append((first - int(ends[doc] - counts[doc]), k, pos))
         for i, n in enumerate(counts):
             good: dict[int, int] = {}
             items: set[str] = set()
             if i in hits:
                 w = _words(texts[i])
-                for first, k in hits[i]:
-                    if holders := self.by_length[k][2].get(b" ".join(w[first : first + k])):
+                for first, k, pos in hits[i]:
+                    if holders := known[k, pos].get(b" ".join(w[first : first + k])):
                         good[first] = max(k, good.get(first, 0))
                         items |= holders
             yield i, int(n), good, items
 
 
+_indexes: dict[str, Index] = {}
+
+
+def _index(token: str, block, window: int) -> Index:
+    """The index of a broadcast block, made once in a worker."""
+    if token not in _indexes:
+        _indexes.clear()
+        _indexes[token] = Index(block.value, window)
+    return _indexes[token]
+
+
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Union of spans (first, last), both included."""
     out: list[tuple[int, int]] = []
@@ -86,15 +122,15 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scanner(block, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds a block's hits to the columns n_words, spans and items; text and item columns come last."""
+def _scanner(token: str, block, window: int, text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds a block's hits to the last three columns: words, spans and items."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(block.value, window)
+        index = _index(token, block, window)
         for batch in batches:
-            names = batch.schema.names
-            texts = words.text_bytes(batch.column(names.index("_text")))
-            old_spans, old_items = batch.column(names.index("spans")), batch.column(names.index("items"))
+            texts = words.text_bytes(batch.column(text_at))
+            own = batch.num_columns - 3
+            old_spans, old_items = batch.column(own + 1), batch.column(own + 2)
             n_words, spans, items = [], [], []
             for i, j in words.blocks(texts):
                 for k, n, good, found in index.scan(texts[i:j]):
@@ -102,8 +138,8 @@ def _scanner(block, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                     before = [(s["first"], s["last"]) for s in old_spans[i + k].as_py()]
                     spans.append([{"first": a, "last": b} for a, b in _merge(before + [(a, a + w - 1) for a, w in good.items()])] if good else old_spans[i + k].as_py())
                     items.append(sorted({*old_items[i + k].as_py(), *found}))
-            new = {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(k)) for k, n in enumerate(names)], names=names)
+            new = [pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], *new], names=batch.schema.names)
 
     return scan
 
@@ -118,18 +154,18 @@ def find_hits(spark: SparkSession, docs: DataFrame, items: DataFrame, text_col:
     items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-total // BLOCK_BYTES) or 1
-    own = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
-    now = docs.select(*own, F.col(text_col).alias("_text")).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)"), "items": F.expr("cast(array() as array<string>)")})
+    own = columns.others(docs, "n_words", "spans", "items")
+    now = docs.select(*map(columns.column, own), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     scratch = Scratch(spark, "decontaminate") if n_blocks > 1 else None
     for b in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b).collect()
         block = spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in rows])
-        if b == 0 and text_col in own:  # the text travels once
-            now = now.drop(text_col)
-        now = now.mapInArrow(_scanner(block, window), now.schema)
+        now = now.mapInArrow(_scanner(uuid.uuid4().hex, block, window, own.index(text_col)), now.schema)
         if scratch and b < n_blocks - 1:
             now = scratch.table(now, f"block-{b}")
-    return now.withColumnRenamed("_text", text_col).select(*own, "n_words", "spans", "items") if text_col in own else now.drop("_text")
+            if b:
+                scratch.drop(f"block-{b - 1}")
+    return now
 
 
 def n_hit(spans: str = "spans") -> Column:
@@ -139,8 +175,6 @@ def n_hit(spans: str = "spans") -> Column:
 
 def _cutter(text_at: int, spans_at: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
@@ -153,20 +187,25 @@ def _cutter(text_at: int, spans_at: int):
                         keep.append(raw[last : at[s["first"]][0]])
                         last = at[s["last"]][1]
                     texts[i] = b"".join([*keep, raw[last:]]).decode()
-            columns = list(batch.columns)
-            columns[text_at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            new = [*batch.columns[:text_at], pa.array(texts, pa.string()), *batch.columns[text_at + 1 :]]
+            yield pa.RecordBatch.from_arrays(new, names=batch.schema.names)
 
     return cut
 
 
 def remove_hits(spark: SparkSession, docs: DataFrame, items: DataFrame, remove: str = "documents", text_col: str = "text") -> DataFrame:
-    """``docs`` without contaminated documents, or (``remove="spans"``) without the hit words."""
-    found = find_hits(spark, docs, items, text_col=text_col)
+    """``docs`` without contaminated documents, or (``remove="spans"``) without the hit words.
+
+    Rows are judged one by one: each of several equal rows stays or goes, and one with a null or
+    empty text or a null id stays. All columns are kept as they are, also those that
+    ``find_hits`` would replace.
+    """
+    names = columns.apart(docs.columns, len(docs.columns))
+    found = find_hits(spark, docs.toDF(*names), items, text_col=names[docs.columns.index(text_col)])
     if remove == "documents":
-        return found.where(F.size("spans") == 0).select(*docs.columns)
-    at = found.columns.index(text_col), found.columns.index("spans")
-    return found.mapInArrow(_cutter(*at), found.schema).select(*docs.columns)
+        return found.where(F.size("spans") == 0).select(*names).toDF(*docs.columns)
+    at = docs.columns.index(text_col), len(names) + 1
+    return found.mapInArrow(_cutter(*at), found.schema).select(*names).toDF(*docs.columns)
 
 
 def op6_query(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -177,8 +216,6 @@ def op6_query(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFra
 
 def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> dict:
     """The definition, word by word; for tests."""
-    import re
-
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     grams = []
     for item, text in items:
