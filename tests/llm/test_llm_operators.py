@@ -1,4 +1,5 @@
 import hashlib
+import math
 import os
 import random
 import time
@@ -98,6 +99,40 @@ def test_toxicity_without_labels(spark, hostile):
     assert len(got) == len(HOSTILE) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def brute_score(model, text):
+    """Every entry looked for at every place of the folded text."""
+    folded, at, free = toxicity.fold((text or "").encode()), {}, []
+    for term, weight in model.weights.items():
+        for i in range(len(folded)):
+            if folded.startswith(term, i):
+                at[i] = max(weight, at.get(i, 0.0))
+    for phrase in model.exceptions:
+        free += [(i, i + len(phrase) - 1) for i in range(len(folded)) if folded.startswith(phrase, i)]
+    at = {i: w for i, w in at.items() if not any(a <= i < b for a, b in free)}
+    x = sum(b * v for b, v in zip(model.beta, toxicity.inputs(sum(at.values()), len(at), len(folded.split())), strict=True))
+    return 1 / (1 + math.exp(-x))
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "boolean", "double"])
+def test_scores_equal_brute_force_with_labels_of_any_type(spark, kind):
+    r = random.Random(3)
+    text = lambda toxic: " ".join(r.choice(["vile", "VILE!", "v1leness", "vile weather", "x", "y", "𠀋", "\U00030000z"] if toxic else ["fine", "vile weather", "x", "y"]) for _ in range(30))
+    rows = [(i, text(i % 3 == 0)) for i in range(200)] + [(5, "again"), (None, "vile"), (301, None), (302, "vile " * 100_000)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(4, None), (6, 0), (None, 1)], "doc_id long, toxic int").withColumn("toxic", F.col("toxic").cast(kind))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"TOTAL": F.lit("clash"), "_0": F.lit(1), "a.b": F.lit(2)})
+    model = toxicity.learn(spark, docs, labels)
+    assert model.weights and model.exceptions
+    got = toxicity.score_toxicity(docs, model).collect()
+    assert len(got) == len(rows) and {"_0", "a.b", "score"} <= set(got[0].asDict())
+    for x in got:
+        if len(x["text"] or "") < 10_000:
+            assert abs(x["score"] - brute_score(model, x["text"])) < 1e-9
+        else:
+            assert x["score"] > 0.9
+    assert toxicity.score_toxicity(none_of(docs), model).count() == 0
+    assert toxicity.op3_query(spark, docs, labels).where("doc_id is null").first()["held_out"]
+
+
 # 4: mixing.
 
 
@@ -255,6 +290,26 @@ def test_decontamination_equals_brute_force(spark, hostile, monkeypatch, block):
     assert not decontaminate.find_hits(spark, d, none_of(b)).where("size(spans) > 0").count()
 
 
+def test_index_of_many_items_with_one_window():
+    items = [(f"i{k}", b"a b c d e f g h i j " + str(k).encode()) for k in range(300)] + [("short", b"A-b")]
+    index = decontaminate.Index(items, 10)
+    ((_, n, good, found),) = index.scan([b"x a b c d e f g h i j y"])
+    assert n == 12 and good == {1: 10} and found == {i for i, _ in items}
+    assert sum(x.nbytes for part in index.by_length.values() for x in part if isinstance(x, np.ndarray)) < 100 * 1024
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = "w0 " + " ".join(f"x{i}" for i in range(300_000)) + " one two three four five six seven eight nine ten " + "z" * 1_000_000
+    docs = spark.createDataFrame([(1, long), (2, None), (None, "one two three four five six seven eight nine ten")] * 2, "doc_id long, text string").withColumns({"SPANS": F.lit(1), "_text": F.lit(2), "items": F.lit("x")})
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    got = decontaminate.find_hits(spark, docs, items).select("n_words", F.size("items").alias("n"), decontaminate.n_hit().alias("hit")).collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 0)] * 2 + [(10, 1, 10)] * 2 + [(300_012, 1, 10)] * 2
+    left = decontaminate.remove_hits(spark, docs, items)
+    assert left.columns == docs.columns and [tuple(x) for x in left.collect()] == [(2, None, 1, 2, "x")] * 2
+    spans = decontaminate.remove_hits(spark, docs, items, remove="spans").orderBy(F.length("text")).collect()
+    assert [x["text"] for x in spans][:4] == [None, None, "", ""] and "one two" not in spans[-1]["text"] and spans[-1]["items"] == "x"
+
+
 # 7: sharding.
 
 

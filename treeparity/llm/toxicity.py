@@ -22,13 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import words
+from . import columns, words
 from .language import held_out
 
-#: Bounds of what is learned from: labelled rows (those with the smallest hash of their id), and
-#: lexicon entries and exception phrases, the surest first.
+#: Bound of what is learned from: labelled rows, those with the smallest hash of their id.
 SAMPLE_ROWS = 8_000
-MAX_ENTRIES = 5_000
 #: Word beginnings that are entries, in letters.
 PREFIXES = (4, 5, 6)
 #: Least lower bound of the share of toxic documents among those with an entry, and greatest upper bound for an exception.
@@ -44,6 +42,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 # Characters of no width.
 NO_WIDTH = "­​‌‍⁠﻿"
+#: Code points that are folded by a table; the few beyond it one by one.
 _TABLE = 0x20000
 _DROP = 0xFFFFFFFF
 
@@ -74,6 +73,10 @@ def fold(text: bytes) -> str:
     table = _folds()
     out = np.full(len(codes) + 2, 32, np.uint32)
     out[1:-1] = table[np.minimum(codes, _TABLE - 1)]
+    if len(codes) and codes.max() >= _TABLE:
+        far = np.flatnonzero(codes >= _TABLE)
+        values, at = np.unique(codes[far], return_inverse=True)
+        out[far + 1] = np.array([_fold_one(chr(c)) for c in values.tolist()], np.uint32)[at]
     for sign, letter in SIGNS.items():
         at = np.flatnonzero(codes == ord(sign)) + 1
         if len(at):
@@ -202,13 +205,20 @@ class Model:
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) -> Model:
-    """From a bounded sample of the labelled rows that are not held out."""
-    chosen = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    """From a bounded sample of the labelled rows that are not held out.
+
+    A label is toxic if it is above 0 as a whole number; null labels and ids teach nothing, and of
+    several labels of an id the greatest counts. Of several texts of an id, that of the smallest
+    hash is learned from. Without labelled rows every score is the same.
+    """
+    label = F.col("toxic").cast("int")
+    chosen = labels.where(~held_out() & label.isNotNull()).groupBy("doc_id").agg(F.max(label).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     scratch = Scratch(spark, "toxicity")
     chosen = F.broadcast(scratch.table(chosen, "chosen"))  # at most SAMPLE_ROWS rows of two numbers
-    rows = scratch.table(docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text").repartition(spark.sparkContext.defaultParallelism), "sample")
+    one = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = scratch.table(one.select("toxic", F.col("t.text").alias("text")).repartition(spark.sparkContext.defaultParallelism), "sample")
     counted = rows.mapInArrow(_count_terms, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t > 2")
-    sure = counted.withColumn("low", _bound("-")).where(f"low >= {SURE}").orderBy(F.desc("low"), F.length("term"), "term").limit(MAX_ENTRIES).collect()
+    sure = counted.withColumn("low", _bound("-")).where(f"low >= {SURE}").collect()  # of the sample's words
     n = {r[0]: r[1] for r in rows.groupBy(F.col("toxic") > 0).count().collect()}
     weights: dict[str, float] = {}
     low: dict[str, float] = {}
@@ -218,7 +228,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, exceptions: t
             low[term] = r["low"]
             weights[term] = math.log((r["t"] + 0.5) / (n.get(True, 0) + 1)) - math.log((r["c"] + 0.5) / (n.get(False, 0) + 1))
     phrases = rows.mapInArrow(_count_phrases(weights), "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    free = [r["term"] for r in phrases.withColumn("high", _bound("+")).where(f"c > 2 and high <= {CLEAN}").orderBy("high", "term").limit(MAX_ENTRIES).collect()]
+    free = [r["term"] for r in phrases.withColumn("high", _bound("+")).where(f"c > 2 and high <= {CLEAN}").collect()]
     free += [f" {fold_term(p)} " for p in exceptions]
     seen = rows.mapInArrow(_features(weights, free, 1), "toxic int, text string, total double, hits long, n_words long").select(F.col("toxic").cast("int"), "total", "hits", "n_words").collect()
     scratch.drop()
@@ -230,17 +240,19 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
 
     Null and empty texts have no words and get the score of a text without any hit.
     """
-    own = docs.select(*[c for c in docs.columns if c not in ("total", "hits", "n_words", "score")])
+    names = columns.others(docs, "total", "hits", "n_words", "score")
+    own = docs.select(*map(columns.column, names))
     schema = own.withColumns({"total": F.lit(0.0), "hits": F.lit(0).cast("long"), "n_words": F.lit(0).cast("long")}).schema
     for f in schema.fields:
         f.nullable = True
-    found = own.mapInArrow(_features(model.weights, model.exceptions, own.columns.index(text_col)), schema)
+    found = own.mapInArrow(_features(model.weights, model.exceptions, names.index(text_col)), schema)
     b = model.beta
     x = F.lit(b[0]) + F.lit(b[1]) * (F.col("hits") > 0).cast("double") + F.lit(b[2]) * F.log1p("total") + F.lit(b[3]) * F.log1p(100.0 * F.col("total") / (F.col("n_words") + 20))
     return found.withColumn("score", 1 / (1 + F.exp(-x)))
 
 
 def op3_query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of all rows by a model of the labels; rows are scored one by one, those with null ids are held out."""
     model = learn(spark, docs, labels)
     found = score_toxicity(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "hits")
