@@ -116,11 +116,11 @@ def brute_score(model, text):
 @pytest.mark.parametrize("kind", ["int", "long", "boolean", "double"])
 def test_scores_equal_brute_force_with_labels_of_any_type(spark, kind):
     r = random.Random(3)
-    text = lambda toxic: " ".join(r.choice(["vile", "VILE!", "v1leness", "vile weather", "x", "y", "𠀋", "\U00030000z"] if toxic else ["fine", "vile weather", "x", "y"]) for _ in range(30))
-    rows = [(i, text(i % 3 == 0)) for i in range(200)] + [(5, "again"), (None, "vile"), (301, None), (302, "vile " * 100_000)]
+    text = lambda toxic: " ".join(r.choice(["vile", "VILE!", "v1leness", "vile weather", "x", "y", "𠀋", "\U00030000z"] if toxic else ["fine", "weather", "x", "y"]) for _ in range(30))
+    rows = [(i, text(i % 3 == 0)) for i in range(200)] + [(5, "again"), (None, "vile"), (303, "vile weather vile x"), (301, None), (302, "vile " * 100_000)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(4, None), (6, 0), (None, 1)], "doc_id long, toxic int").withColumn("toxic", F.col("toxic").cast(kind))
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"TOTAL": F.lit("clash"), "_0": F.lit(1), "a.b": F.lit(2)})
-    model = toxicity.learn(spark, docs, labels)
+    model = toxicity.learn(spark, docs, labels, exceptions=("vile weather",))
     assert model.weights and model.exceptions
     got = toxicity.score_toxicity(docs, model).collect()
     assert len(got) == len(rows) and {"_0", "a.b", "score"} <= set(got[0].asDict())
@@ -455,35 +455,58 @@ def test_licenses(spark, hostile):
 # 10: language.
 
 
-def test_suffix_automaton_knows_all_substrings():
+@pytest.mark.parametrize("kind", [language.Dense, language.Hashed])
+def test_suffix_automaton_knows_all_substrings(kind):
     r = random.Random(3)
     s = np.array([r.randrange(3) for _ in range(60)])
-    table = language.suffix_automaton(s, 3)
-    known = {tuple(s[i:j]) for i in range(60) for j in range(i, 61)}
+    steps = kind(language.suffix_automaton(s), 5)
+    known = {tuple(s[i:j].tolist()) for i in range(60) for j in range(i, 61)}
     for _ in range(400):
-        q, state = [r.randrange(3) for _ in range(r.randrange(1, 9))], 0
-        for c in q:
-            state = table[state, c] if state >= 0 else -1
-        assert (state >= 0) == (tuple(q) in known)
+        q, state, whole = [r.randrange(3) for _ in range(r.randrange(1, 9))], np.array([steps.between], np.int32), True
+        for i, c in enumerate(q):
+            state, begins = steps(state, np.array([c], np.int32))
+            whole &= i == 0 or not begins[0]
+        assert whole == (tuple(q) in known)
 
 
-def test_phrases_equal_a_greedy_parse():
+@pytest.mark.parametrize("segment,dense", [(256, 1 << 23), (16, 1 << 23), (16, 0), (3, 0)])
+def test_phrases_equal_a_greedy_parse(monkeypatch, segment, dense):
+    monkeypatch.setattr(language, "SEGMENT", segment)
+    monkeypatch.setattr(language, "DENSE", dense)
     r = random.Random(3)
-    learned = {k: "".join(r.choice(v) for _ in range(500)) for k, v in {"x": "abc ", "y": "cde "}.items()}
+    learned = {k: "".join(r.choice(v) for _ in range(900)) for k, v in {"x": "abc ", "y": "cde ", "z": ["ab ab c", "de", "𠀋", "我"], "w": "a"}.items()}
     model = language.Model({k: language.letters(v.encode()) for k, v in learned.items()})
-    for _ in range(30):
-        text = "".join(r.choice("abcde ") for _ in range(r.randrange(1, 200)))
-        low = "".join(chr(c) if c else " " for c in language.letters(text.encode()))
-        got = model.phrases([model.symbols(language.letters(text.encode()))])[0]
+    parts = ["a", "b", "c", "d", "e", " ", "𠀋", "\U00030000", "我", "你", learned["z"][100:300], learned["x"][5:90], "a" * 50]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(0, 60))) for _ in range(40)] + ["", "a" * 900, learned["x"], learned["y"] * 2]
+    low = [language.letters(t.encode()) for t in texts]
+    got = model.phrases([model.numbers(x) for x in low])
+    for i, x in enumerate(low):
+        text = "".join(chr(c) if c else " " for c in x)
         for k, lang in enumerate(model.langs):
             have = "".join(chr(c) if c else " " for c in language.letters(learned[lang].encode()))
             n, at = 0, 0
-            while at < len(low):
+            while at < len(text):
                 to = at + 1
-                while to < len(low) and low[at : to + 1] in have:
+                while to < len(text) and text[at : to + 1] in have:
                     to += 1
                 n, at = n + 1, to
-            assert abs(got[k] - n) <= 1
+            assert got[i][k] == n, (text, lang)
+
+
+def test_languages_of_large_alphabets(spark):
+    r = random.Random(6)
+    scripts = {"zh": range(0x4E00, 0x5E00), "ja": range(0x5A00, 0x6A00), "ko": range(0xAC00, 0xB800), "far": range(0x20000, 0x20800)}
+    docs = [(i, "".join(chr(r.choice(scripts[k])) for _ in range(300)), k) for i, k in enumerate(list(scripts) * 40)]
+    docs += [(900, "x" * 200_000 + "我", None), (901, docs[0][1], None)]
+    got = {x["doc_id"]: x["lang_pred"] for x in language.op10_query(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[i] == k for i, _, k in docs[:160]) >= 150 and got[901] == "zh" and got[900] in scripts
+
+
+def test_sample_is_bounded_and_whole(spark):
+    rows = [(i, f"text number {i} " * 20, "en") for i in range(300)] + [(5000, "same same", "en")] * 400 + [(6000 + i, "lang " * 20_000, "de") for i in range(3)] + [(None, "no id", "fr")]
+    got = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(got) == {"en", "de"} and len(got["de"]) == language.SYMBOLS + 1 and language.SYMBOLS * 0.5 < len(got["en"]) <= language.SYMBOLS + 100
+    assert got["en"].count("same same") <= 1
 
 
 def test_language(spark, hostile):

@@ -155,7 +155,8 @@ def find_hits(spark: SparkSession, docs: DataFrame, items: DataFrame, text_col:
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-total // BLOCK_BYTES) or 1
     own = columns.others(docs, "n_words", "spans", "items")
-    now = docs.select(*map(columns.column, own), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    none = F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items")
+    now = columns.numbered(docs, own, *none)
     scratch = Scratch(spark, "decontaminate") if n_blocks > 1 else None
     for b in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b).collect()
@@ -165,7 +166,7 @@ def find_hits(spark: SparkSession, docs: DataFrame, items: DataFrame, text_col:
             now = scratch.table(now, f"block-{b}")
             if b:
                 scratch.drop(f"block-{b - 1}")
-    return now
+    return now.toDF(*own, "n_words", "spans", "items")
 
 
 def n_hit(spans: str = "spans") -> Column:
@@ -200,7 +201,7 @@ def remove_hits(spark: SparkSession, docs: DataFrame, items: DataFrame, remove:
     empty text or a null id stays. All columns are kept as they are, also those that
     ``find_hits`` would replace.
     """
-    names = columns.apart(docs.columns, len(docs.columns))
+    names = [f"c{i}" for i in range(len(docs.columns))]
     found = find_hits(spark, docs.toDF(*names), items, text_col=names[docs.columns.index(text_col)])
     if remove == "documents":
         return found.where(F.size("spans") == 0).select(*names).toDF(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import near_dedup, words
+from . import columns, near_dedup, words
 
 HASHES = 128
 SHINGLE = 5
@@ -62,11 +62,8 @@ def _fingerprint(text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 def fingerprint_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with its fingerprint (a column of that name is replaced); null is empty."""
-    own = docs.select(*[c for c in docs.columns if c != "fingerprint"])
-    schema = own.withColumn("fingerprint", F.lit("")).schema
-    for f in schema.fields:
-        f.nullable = True
-    return own.mapInArrow(_fingerprint(own.columns.index(text_col)), schema)
+    own = columns.others(docs, "fingerprint")
+    return columns.mapped(docs, own, _fingerprint(own.index(text_col)), "fingerprint string")
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -348,19 +348,19 @@ def extract(source: str, winner: str | None = None, repeated: frozenset[int] = f
     return "\n".join(t for t, doubtful in blocks if not (doubtful and repeated and block_key(t) in repeated))
 
 
-def _extract(known, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (keep, host, html) or, if nothing is broadcast, (keep, host, html, path, blocks) to (keep, text)."""
+def _extract(known, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of n columns and host, html, or html, path, blocks if nothing is broadcast, to the n columns and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        winners = known.value if known is not None else None
-        n = len(keep)
         for batch in batches:
-            if winners is None:
-                found = [(p, frozenset(b or ())) for p, b in zip(batch.column(n + 2).to_pylist(), batch.column(n + 3).to_pylist(), strict=True)]
+            if known is None:
+                found = [(p, frozenset(b or ())) for p, b in zip(batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist(), strict=True)]
+                htmls = batch.column(n)
             else:
-                found = [winners.get(h, (None, frozenset())) for h in batch.column(n).to_pylist()]
-            texts = [extract(s.decode("utf-8", "replace"), *w) for s, w in zip(words.text_bytes(batch.column(n + 1)), found, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], names=[*keep, "text"])
+                found = [known.value.get(h, (None, frozenset())) for h in batch.column(n).to_pylist()]
+                htmls = batch.column(n + 1)
+            texts = [extract(s.decode("utf-8", "replace"), *w) for s, w in zip(words.text_bytes(htmls), found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], names=[*batch.schema.names[:n], "text"])
 
     return run
 
@@ -383,16 +383,12 @@ def extract_text(spark: SparkSession, pages: DataFrame, url_col: str = "url", ht
     scratch = Scratch(spark, "html")
     own = [c for c in columns.others(pages, "text") if c != html_col]
     winners = scratch.table(host_winners(pages, url_col, html_col), "winners")
-    schema = pages.select(*map(columns.column, own)).withColumn("text", F.lit("")).schema
-    for f in schema.fields:
-        f.nullable = True
-    rows = pages.select(columns.packed(own), host_of(url_col).alias("host"), F.col(html_col).alias("html"))
     if (winners.agg(F.sum(1 + F.size("blocks"))).first()[0] or 0) <= BROADCAST_HOSTS:
         known = spark.sparkContext.broadcast({r[0]: (r[1], frozenset(r[2])) for r in winners.collect()})
-        flat = rows.select(*columns.unpacked(own), "host", "html")
-        return flat.toDF(*own, *columns.apart(own, 2)).mapInArrow(_extract(known, own), schema)
-    joined = rows.join(winners, "host", "left").select(*columns.unpacked(own), "host", "html", "path", "blocks")
-    return joined.toDF(*own, *columns.apart(own, 4)).mapInArrow(_extract(None, own), schema)
+        return columns.mapped(pages, own, _extract(known, len(own)), "text string", host_of(url_col).alias("host"), F.col(html_col).alias("html"))
+    rows = pages.select(columns.packed(own), host_of(url_col).alias("host"), F.col(html_col).alias("html")).join(winners, "host", "left")
+    rows = rows.select(*columns.unpacked(own), F.struct("html", "path", "blocks").alias(given := columns.free(own)))
+    return columns.mapped(rows, own, _extract(None, len(own)), "text string", *[F.col(given)[x].alias(x) for x in ("html", "path", "blocks")])
 
 
 def op8_query(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -240,12 +240,8 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
 
     Null and empty texts have no words and get the score of a text without any hit.
     """
-    names = columns.others(docs, "total", "hits", "n_words", "score")
-    own = docs.select(*map(columns.column, names))
-    schema = own.withColumns({"total": F.lit(0.0), "hits": F.lit(0).cast("long"), "n_words": F.lit(0).cast("long")}).schema
-    for f in schema.fields:
-        f.nullable = True
-    found = own.mapInArrow(_features(model.weights, model.exceptions, names.index(text_col)), schema)
+    own = columns.others(docs, "total", "hits", "n_words", "score")
+    found = columns.mapped(docs, own, _features(model.weights, model.exceptions, own.index(text_col)), "total double, hits long, n_words long")
     b = model.beta
     x = F.lit(b[0]) + F.lit(b[1]) * (F.col("hits") > 0).cast("double") + F.lit(b[2]) * F.log1p("total") + F.lit(b[3]) * F.log1p(100.0 * F.col("total") / (F.col("n_words") + 20))
     return found.withColumn("score", 1 / (1 + F.exp(-x)))
