@@ -2,6 +2,7 @@ import hashlib
 import math
 import os
 import random
+import re
 import time
 import zlib
 from html.parser import HTMLParser
@@ -452,6 +453,45 @@ def test_licenses(spark, hostile):
     assert licenses.op9_query(none_of(hostile)).count() == 0
 
 
+def test_notices_by_relative_position(spark):
+    text = {name: w for (_, name), (w, _) in licenses.NOTICES.items()}
+    r = random.Random(7)
+    rows, want = [(0, " ".join(text.values())), (1, ""), (2, None)], {0: {label for label, _ in licenses.NOTICES} | {"gpl", "apache", "mpl"}}
+    for label, name in licenses.NOTICES:
+        w = text[name].split()
+        for _ in range(3):  # one word changed anywhere
+            at = r.randrange(len(w))
+            changed = ["intro", "words;"] * r.randrange(9) + [*w[:at], "changed", *w[at + 1 :]] + ["tail"] * r.randrange(9)
+            want[len(rows)] = {label}
+            rows.append((len(rows), "\n * ".join(x.upper() if r.random() < 0.3 else x for x in changed)))
+        shuffled = w[:]
+        r.shuffle(shuffled)
+        rows.append((len(rows), " ".join(shuffled)))
+        cut = w[6:]  # the beginning is lost
+        want[len(rows)] = {label} if label != "mpl" else set()
+        rows.append((len(rows), " ".join(cut)))
+    got = {x["doc_id"]: x for x in licenses.op9_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, labels in want.items():
+        assert labels <= set(got[i]["labels"].split(",")), (rows[i], got[i])
+    assert got[1]["labels"] == got[2]["labels"] == "" and all(0 <= x["score"] <= 1 for x in got.values())
+    plain = [x for x in got.values() if x["doc_id"] not in want]
+    assert not any(label in x["labels"].split(",") for x in plain for label in ("zlib", "bsl", "wtfpl"))
+
+
+def test_base_places_equal_brute_force(spark):
+    r = random.Random(11)
+    vocabulary = "gnu general public license apache cc by mit licence x the".split()
+    rows = [(i, "".join(r.choice(vocabulary) + r.choice([" ", "-", ", ", "\n"]) for _ in range(r.randrange(80)))) for i in range(200)]
+    rows += [(300, "mit license " * 30_000), (301, "public " * 100_000 + "MIT\tLicense")]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string").withColumns({"w": F.lit(1), "AT": F.lit(2), "row": F.lit(3), "Found": F.lit("x")})
+    assert licenses.scan_licenses(docs).columns == ["doc_id", "text", "w", "AT", "row", "n_words", "found"]
+    for x in licenses.op9_query(docs).collect():
+        w = [t for t in re.split("[^a-z0-9]+", dict(rows)[x["doc_id"]].lower()) if t]
+        places = [(i, label) for p, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        assert (x["n_words"], x["n_base"], x["first_word"], x["last_word"]) == (len(w), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None))
+        assert x["base_labels"] == ",".join(sorted({label for _, label in places}))
+
+
 # 10: language.
 
 
