@@ -23,6 +23,44 @@ def hostile(spark):
     return spark.createDataFrame(HOSTILE, "doc_id long, text string, source string").withColumns({"size": F.lit("clash"), "score": F.lit("clash"), "shard": F.lit("x"), "fingerprint": F.lit("y"), "n_words": F.lit("z"), "lang": F.lit("en")})
 
 
+#: Names that operators use inside, in one case or another, and some that SQL could misread.
+NAMES = ["sk", "SK", "key", "_key", "range", "_range", "id", "row", "value", "rank", "curve", "_curve", "at", "part", "start", "before", "w", "_w", "s", "r", "c", "c0", "C1", "host", "fetched", "domain", "_h", "_source", "lang_code", "Budget", "ahead", "within", "x", "xx", "a.b", "a`b", "spans", "total", "hits", "html", "path", "blocks", "n", "found", "text_key", "crc", "grp", "p"]
+
+
+def crowded(df, *taken):
+    """``df`` with a column of every such name, and the names."""
+    have, names = {c.lower() for c in [*df.columns, *taken]}, []
+    for n in NAMES:
+        if n.lower() not in have:
+            have.add(n.lower())
+            names.append(n)
+    return df.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)]), names
+
+
+@pytest.mark.parametrize("name", ["url", "toxicity", "mixing", "fingerprints", "hits", "removal", "shards", "html", "licenses", "language", "mixed"])
+def test_columns_of_any_name_are_kept(spark, name):
+    docs = spark.createDataFrame([(i, f"some text {i} of a few words", "ab"[i % 2], "en") for i in range(6)], "doc_id long, text string, source string, lang string")
+    pages = spark.createDataFrame([(i, f"http://h.com/{i}", "<p>x</p>", "2024-01-01") for i in range(6)], "page_id long, url string, html string, day string")
+    added = {
+        "url": lambda d: url_filters.filter_urls(d.withColumn("day", F.col("day").cast("date")), url_filters.demo_entries(d), fetched_col="day"),
+        "toxicity": lambda d: toxicity.score_toxicity(d, toxicity.Model({" some ": 1.0}, [], [0.0, 1.0, 0.0, 0.0])),
+        "mixing": mixing.mix_sources,
+        "fingerprints": fingerprints.fingerprint_documents,
+        "hits": lambda d: decontaminate.find_hits(spark, d, docs.limit(1).withColumnRenamed("doc_id", "item_id")),
+        "removal": lambda d: decontaminate.remove_hits(spark, d, docs.where("false").withColumnRenamed("doc_id", "item_id")),
+        "shards": lambda d: sharding.hilbert_shards(spark, d),
+        "html": lambda d: html_text.extract_text(spark, d),
+        "licenses": licenses.scan_licenses,
+        "language": lambda d: language.identify_language(spark, d),
+        "mixed": lambda d: mixing.mixed_rows(d.withColumns({"size": F.lit(6), "taken": F.lit(6)})),
+    }[name]
+    taken = {"url": ["host", "domain", "list", "action", "blocked"], "toxicity": ["total", "hits", "n_words", "score"], "hits": ["n_words", "spans", "items"], "html": ["text"], "licenses": ["n_words", "found"]}.get(name, [])
+    df, names = crowded(pages if name in ("url", "html") else docs, *taken)
+    rows = added(df).collect()
+    assert len(rows) == 6
+    assert all([r[n] for n in names] == list(range(len(names))) for r in map(lambda r: r.asDict(), rows))
+
+
 def none_of(df):
     return df.where("false")
 

@@ -12,9 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..scratch import Scratch
+from . import columns, order
 
 BITS = 8
 SHARDS = 24
@@ -49,13 +49,13 @@ def _curve(*columns: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns], axis=1)))
 
 
-def _codes(docs: DataFrame, name: str) -> DataFrame:
-    """(name, code): values in order, null first, spread over 2**BITS by the rows before the middle of each."""
-    n = docs.groupBy(name).agg(F.count("*").alias("n"))
-    before = Window.orderBy(F.col(name).asc_nulls_first())
-    total = F.sum("n").over(Window.orderBy(F.col(name).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    middle = F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") / 2
-    return n.select(F.col(name).alias(f"_{name}"), F.floor(middle * (1 << BITS) / total).cast("int").alias(f"_c_{name}"))
+def _codes(values: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(value, code) of rows (value): values in order, null first, spread over 2**BITS by the rows before the middle of each."""
+    counted = scratch.table(values.groupBy("value").agg(F.count("*").alias("n")), f"values-{name}")
+    n = counted.count()
+    found, total = order.running(counted, ["value"], "n", scratch, f"order-{name}", 1 + n // 200_000)
+    codes = found.select("value", F.floor((F.col("before") + F.col("n") / 2) * (1 << BITS) / max(total, 1)).cast("int").alias("code"))
+    return F.broadcast(codes) if n <= BROADCAST_VALUES else codes
 
 
 def _scaled(value: Column, least, most) -> Column:
@@ -66,24 +66,6 @@ def _scaled(value: Column, least, most) -> Column:
     return F.coalesce(F.floor(share * top).cast("int"), F.lit(0))
 
 
-def ranked(df: DataFrame, keys: list[str], scratch: Scratch, name: str, n_partitions: int) -> tuple[DataFrame, int]:
-    """``df`` with its rank by ``keys`` as column rank, from 0, and the number of rows."""
-    sortable = [F.col(k).asc_nulls_first() for k in keys]
-    placed = df.repartitionByRange(n_partitions, *sortable).sortWithinPartitions(*sortable).withColumn("_at", F.monotonically_increasing_id())
-    placed = scratch.table(placed, name)
-    part = F.shiftright("_at", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
-    sizes = sorted((r["_part"], r["n"]) for r in counts.collect())  # a number for each partition, not for each row
-    starts, total = {}, 0
-    for p, n in sizes:
-        starts[p] = total
-        total += n
-    offsets = scratch.spark.createDataFrame([(int(p), int(s)) for p, s in starts.items()], "_part bigint, _start bigint")
-    found = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    found = found.withColumn("rank", F.col("_start") + F.expr("_at & 8589934591")).drop("_at", "_part", "_start")
-    return found, total
-
-
 def hilbert_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with size, text_crc32, shard and slot (columns of these names are replaced).
 
@@ -95,30 +77,24 @@ def hilbert_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, i
     Null texts have no bytes. Missing columns source and lang count as null.
     """
     scratch = Scratch(spark, "shards")
-    own = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
+    own = columns.others(docs, "size", "text_crc32", "shard", "slot")
     kept = [c for c in own if keep is None or c in keep]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*own, (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    for name in ("source", "lang"):
-        rows = rows.withColumn(f"_{name}", F.col(name).cast("string") if name in own else F.lit(None).cast("string"))
-    slim = rows.select(F.col("_source").alias("source"), F.col("_lang").alias("lang"))
+    of = lambda name: (columns.column(name) if name in own else F.lit(None)).cast("string")
     ends = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    if id_col not in kept:
-        raise ValueError(f"{id_col} orders the rows and must be kept")
-    rows = rows.select(*kept, "size", "text_crc32", "_source", "_lang")
+    rows = docs.select(columns.packed(kept), F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), of("source").alias("source"), of("lang").alias("lang"))
     for name in ("source", "lang"):
-        codes = scratch.table(_codes(slim.select(name), name).withColumnRenamed(f"_{name}", "_v"), f"codes-{name}")
-        codes = F.broadcast(codes) if codes.count() <= BROADCAST_VALUES else codes
-        rows = rows.join(codes, rows[f"_{name}"].eqNullSafe(codes["_v"]), "left").drop("_v", f"_{name}")
+        codes = _codes(docs.select(of(name).alias("value")), scratch, name)
+        rows = rows.join(codes, F.col(name).eqNullSafe(F.col("value")), "left").withColumnRenamed("code", f"{name}_code").drop("value", name)
     size_code = F.least(F.lit((1 << BITS) - 1), F.floor(F.log2(F.col("size")) * 8).cast("int"))
-    curve = F.pandas_udf(_curve, "long")
-    rows = rows.withColumn("_curve", curve(F.coalesce("_c_source", F.lit(0)), F.coalesce("_c_lang", F.lit(0)), size_code, _scaled(F.col(id_col), ends[0], ends[1]))).drop("_c_source", "_c_lang")
-    stats = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n_partitions = max(1, min(-(-stats // (32 << 20)), -(-ends[2] // 1000)))
-    found, total = ranked(rows, ["_curve", id_col, "size", "text_crc32"], scratch, "order", n_partitions)
+    curve = F.pandas_udf(_curve, "long")(F.coalesce("source_code", F.lit(0)), F.coalesce("lang_code", F.lit(0)), size_code, _scaled(F.col("id"), ends[0], ends[1]))
+    rows = rows.select("row", "id", "size", "text_crc32", curve.alias("curve"))
+    given = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n_partitions = max(1, min(-(-given // (32 << 20)), -(-ends[2] // 1000)))
+    found, total = order.ranked(rows, ["curve", "id", "size", "text_crc32"], scratch, "order", n_partitions)
     found = found.withColumn("shard", F.expr(f"cast((rank * {shards}) div {max(total, 1)} as int)"))
     first = F.expr(f"(shard * cast({max(total, 1)} as bigint) + {shards - 1}) div {shards}")
-    return found.withColumn("slot", F.col("rank") - first).select(*kept, "size", "text_crc32", "shard", "slot")
+    return found.select(*columns.unpacked(kept), "size", "text_crc32", "shard", (F.col("rank") - first).alias("slot"))
 
 
 def op7_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

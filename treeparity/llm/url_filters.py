@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import columns
 from .html_text import host_of
 
 
@@ -35,15 +36,14 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", f
     Among entries of one domain, block beats allow, then the list's code point decides. A null or
     malformed URL has an empty host and a null date none that hold: neither is blocked.
     """
-    own = [c for c in captures.columns if c not in ("host", "domain", "list", "action", "blocked")]
-    rows = captures.select(*own, host_of(url_col).alias("host"))
-    seen = rows.select("host", F.col(fetched_col).alias("_on")).where("host <> '' and _on is not null").distinct()
-    parts = F.split("host", r"\.")
-    domains = seen.withColumn("p", parts).select("host", "_on", F.explode(F.expr("transform(sequence(1, size(p)), i -> array_join(slice(p, i, size(p) - i + 1), '.'))")).alias("domain"))
-    holds = domains.join(validity_intervals(entries), "domain").where("_on >= valid_from and (valid_to is null or _on < valid_to)")
-    best = holds.groupBy("host", "_on").agg(F.max(F.struct(F.length("domain").alias("n"), "action", "list", "domain")).alias("b"))
-    best = best.select("host", F.col("_on").alias("_at"), F.col("b.domain").alias("domain"), F.col("b.list").alias("list"), F.col("b.action").alias("action"))
-    out = rows.join(best.withColumnRenamed("host", "_h"), (F.col("host") == F.col("_h")) & (F.col(fetched_col) == F.col("_at")), "left").drop("_h", "_at")
+    own = columns.others(captures, "host", "domain", "list", "action", "blocked")
+    rows = captures.select(columns.packed(own), host_of(url_col).alias("host"), columns.column(fetched_col).alias("fetched"))
+    seen = rows.select("host", "fetched").where("host <> '' and fetched is not null").distinct()
+    parents = "transform(sequence(1, size(p)), i -> array_join(slice(p, i, size(p) - i + 1), '.'))"
+    domains = seen.withColumn("p", F.split("host", r"\.")).select("host", "fetched", F.explode(F.expr(parents)).alias("domain"))
+    holds = domains.join(validity_intervals(entries), "domain").where("fetched >= valid_from and (valid_to is null or fetched < valid_to)")
+    best = holds.groupBy("host", "fetched").agg(F.max(F.struct(F.length("domain").alias("n"), "action", "list", "domain")).alias("b"))
+    out = rows.join(best, ["host", "fetched"], "left").select(*columns.unpacked(own), "host", "b.domain", "b.list", "b.action")
     return out.withColumn("blocked", F.coalesce(F.col("action") == "block", F.lit(False)))
 
 
