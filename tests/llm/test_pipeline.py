@@ -1,9 +1,15 @@
+import hashlib
+import math
 import os
+import random
+import re
+import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from treeparity.llm import decontaminate
+from treeparity.llm import decontaminate, sharding
 
 DATA = "/root/testdata/sf0.001"
 
@@ -46,3 +52,120 @@ def test_near_dedup_stage_decides_by_row(spark):
     assert got.columns == docs.columns
     want = [(3, x, "a"), (5, y, "c"), (7, z, "d"), (8, "one", "e"), (8, "two", "f"), (9, "", "g"), (None, "w", "h"), (None, "v", "i")]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+LONG = " ".join(f"long{i}" for i in range(120_000))
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sk string, c0 int, Size int, lang_pred string, `a.b` int"
+
+
+def hostile(spark):
+    """Null and repeated ids and rows, empty and very long texts, and columns whose names are used inside."""
+    words = [" ".join(f"{p}{i}" for i in range(40)) for p in ("red", "green", "blue")]
+    rows = [(i, f"{words[i % 3]} number {i} " * 3, "en", ["hot", "b", None][min(i % 5, 2)]) for i in range(30)]
+    rows += [(5, None, "en", "b"), (6, "", None, "b"), (7, "12 34", "en", "hot"), (None, words[0], "en", None), (None, words[0], "en", None), (8, "a z", None, "hot"), (8, "a z", None, "hot"), (8, "other words", "en", "b"), (9, LONG, "en", "hot"), (10, LONG + " x", "en", "b")]
+    return spark.createDataFrame([(i, t, lang, s, len(t or ""), "k", 1, 2, "l", 3) for i, t, lang, s in rows], SCHEMA)
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    items = spark.createDataFrame([(1, "green3 green4 green5 green6 green7 green8 green9 green10 green11 green12")], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_stages_take_hostile_rows(spark, folder):
+    docs = hostile(spark)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, folder)
+        if name != "sharding":
+            assert docs.columns == before.columns, name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        kept[name] = docs.collect()
+    has_letter = [r for r in hostile(spark).collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert sorted(kept["language"], key=repr) == sorted(has_letter, key=repr)
+    import sys
+
+    sys.path.insert(0, os.path.dirname(__file__))
+    from test_near_dedup import brute
+
+    rows = [(r["doc_id"] if r["doc_id"] is not None else 10**9, r["text"]) for r in kept["language"]]
+    components = {}
+    for (i, t), (_, _, least, _) in zip(sorted(rows, key=lambda r: r[0]), sorted(brute(sorted(rows, key=lambda r: r[0])), key=lambda r: r[0]), strict=True):
+        components.setdefault(least, []).append((i, t))
+    assert len({t for t in components if t != 8}) + 2 == len(kept["near-dedup"])  # id 8 has two components
+    assert [r for r in kept["near-dedup"] if "green" in r["text"]] and not [r for r in kept["decontamination"] if "green3 " in r["text"]]
+    assert sum(r["text"] == LONG for r in kept["near-dedup"]) == 1 and not any(r["text"].endswith("long119999 x") for r in kept["near-dedup"])
+    shards = [r["shard"] for r in kept["sharding"]]
+    assert len(shards) == len(kept["mixing"]) and all(r["sk"] == "k" and r["a.b"] == 3 for r in kept["sharding"])
+
+
+def test_stages_take_empty_tables(spark, folder):
+    docs = hostile(spark).where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        assert docs.count() == 0, name
+        docs = spark.createDataFrame([], docs.schema)
+
+
+def mix(rows):
+    """The mixing stage word by word: (doc_id, words taken) of every row, by the definition."""
+    key = lambda r: hashlib.md5(f"{'' if r[0] is None else r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}:mix".encode()).hexdigest()[:16]
+    n = lambda r: len(re.findall("[^ \t\n\x0b\x0c\r]+", r[1] or ""))
+    by = {}
+    for r in rows:
+        by.setdefault(r[2], []).append(r)
+    size = {s: sum(map(n, x)) for s, x in by.items()}
+    weight = {s: i % 3 + 1 for i, s in enumerate(sorted((s for s in by if s is not None)) + [None] * (None in by))}
+    target, free, left = {}, set(by), float(sum(size.values()))
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if 3 * size[s] <= weight[s] * level}
+        if not over:
+            target |= {s: weight[s] * level for s in free}
+            break
+        target |= {s: 3.0 * size[s] for s in over}
+        left -= sum(3 * size[s] for s in over)
+        free -= over
+    out = []
+    for s, x in by.items():
+        budget = min(round(target[s]), 3 * size[s])
+        epochs, rest = divmod(budget, size[s]) if size[s] else (0, 0)
+        for r in sorted(x, key=lambda r: (key(r), r[0] is not None, r[0] or 0, n(r))):
+            more = min(n(r), rest)
+            rest -= more
+            out.append((r[0], r[1], epochs * n(r) + more))
+    return out
+
+
+def test_mixing_and_sharding_equal_brute_force(spark):
+    r = random.Random(4)
+    rows = [(r.choice([i, i, None, 7]), " ".join(f"w{r.randrange(99)}" for _ in range(r.randrange(30))), r.choice(["a"] * 6 + ["b", "c", "é", None]), "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    want = []
+    for i, t, taken in mix([x[:3] for x in rows]):
+        w = t.split()
+        while taken > 0:
+            want.append((i, " ".join(w[:taken])))
+            taken -= len(w)
+    mixed = corpus_pipeline.mixing(spark, docs, "")
+    assert sorted(((x["doc_id"], x["text"].strip()) for x in mixed.collect()), key=repr) == sorted(want, key=repr)
+
+    got = corpus_pipeline.sharding(spark, docs, "").collect()
+    share = lambda name: {v: int((sum(1 for x in rows if order(x[name]) < order(v)) + sum(1 for x in rows if x[name] == v) / 2) * 256 / len(rows)) for v in {x[name] for x in rows}}
+    order = lambda v: (v is not None, (v or "").encode())
+    source, lang = share(2), share(3)
+    ids = [x[0] for x in rows if x[0] is not None]
+    scaled = lambda i: 0 if i is None else int((i - min(ids)) / (max(ids) - min(ids)) * 255)
+    size = [len(x[1].encode()) + 8 for x in rows]
+    axes = np.array([(source[x[2]], lang[x[3]], min(255, int(math.log2(n) * 8)), scaled(x[0])) for x, n in zip(rows, size, strict=True)])
+    curve = sharding.hilbert_index(axes)
+    placed = sorted(zip(curve.tolist(), [(x[0] is not None, x[0] or 0) for x in rows], size, [zlib.crc32(x[1].encode()) for x in rows], strict=True))
+    slots = {}
+    for rank, (_, (has, i), n, crc) in enumerate(placed):
+        shard = rank * 24 // len(rows)
+        slots.setdefault((i if has else None, n, crc), []).append((shard, rank - -(-shard * len(rows) // 24)))
+    mine = {}
+    for x in got:
+        mine.setdefault((x["doc_id"], x["size"], x["text_crc32"]), []).append((x["shard"], x["slot"]))
+    assert {k: sorted(v) for k, v in mine.items()} == {k: sorted(v) for k, v in slots.items()}
