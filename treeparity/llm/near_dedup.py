@@ -198,12 +198,12 @@ def _links_in_block(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) to (node, text as zstd)."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_key, text) with the text as zstd."""
     squeeze = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        packed = [squeeze.compress(t) for t in words.text_bytes(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "packed"])
+        packed = [squeeze.compress(t) for t in words.text_bytes(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary())], names=["doc_id", "text_key", "packed"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,11 +328,14 @@ def _blocks_between(met: DataFrame, roots: DataFrame, scratch: Scratch) -> DataF
 
 
 def first_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, packed) of the first document of each node; rows that repeat its id and text are one."""
-    first = nodes.select("node", F.col("first_id"), F.col("text_key").alias("first_key"), (F.col("copies") > 1).alias("many"))
-    found = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")))
-    packed = lambda rows: rows.select("node", "text").mapInArrow(pack, "node long, packed binary")
-    return packed(found.where("not many")).unionByName(packed(found.where("many")).groupBy("node").agg(F.min("packed").alias("packed")))
+    """(node, packed) of the first document of each node; rows that repeat its id and text are one.
+
+    Texts are packed before they are shuffled.
+    """
+    first = nodes.select("node", "first_id", F.col("text_key").alias("first_key"), (F.col("copies") > 1).alias("many"))
+    rows = docs.select("doc_id", "text_key", "text").mapInArrow(_pack, "doc_id long, text_key long, packed binary")
+    found = rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")))
+    return found.where("not many").select("node", "packed").unionByName(found.where("many").groupBy("node").agg(F.min("packed").alias("packed")))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
