@@ -31,12 +31,16 @@ def profile_defaults(profile: Column) -> Column:
 def n_samples(n: Column, gap: Column | int, block: Column | int, seek: Column | int) -> Column:
     """k, the number of sampled blocks; null if the file is to be read in full."""
     n, gap, block, seek = map(_long, (n, gap, block, seek))
-    span, step = n - block, F.try_add(gap, block)
-    k = F.when(step.isNull(), _long(2)).otherwise(_div(span, step) + F.when(span % step != 0, 1).otherwise(0) + 1)
-    small = F.coalesce(n <= F.try_add(block, block), F.lit(True))
-    all_read = F.coalesce(F.try_multiply(k, block) >= n, F.lit(True))
-    dear = F.coalesce(F.try_multiply(k, F.try_add(seek, block)) >= F.try_add(seek, n), F.lit(True))
-    return F.when(~small, F.when(~(all_read | dear), k))
+    span, step = n - block, _sum(gap, block)
+    k = _div(span, step) + F.when(span % step != 0, 1).otherwise(0) + 1
+    all_read = k > _div(n - 1, block)
+    dear = (seek > MAX - n) | (k > _div(_sum(seek, n) - 1, _sum(seek, block)))
+    return F.when((span > block) & ~all_read & ~dear, k)
+
+
+def _sum(x: Column, y: Column) -> Column:
+    """x + y of nonnegative numbers, at most the largest number."""
+    return F.least(x, MAX - y) + y
 
 
 def _div(x: Column, y: Column) -> Column:
@@ -54,12 +58,12 @@ def offsets(n: Column, block: Column | int, k: Column) -> Column:
 
 def read_bytes(n: Column, block: Column | int, k: Column) -> Column:
     """Bytes that the plan reads, at most the largest number."""
-    return F.when(k.isNull(), _long(n)).otherwise(F.coalesce(F.try_multiply(k, _long(block)), _long(MAX)))
+    return F.when(k.isNull(), _long(n)).when(k > _div(_long(MAX), _long(block)), _long(MAX)).otherwise(k * _long(block))
 
 
 def entry_cost(kind: Column, n: Column, block: Column | int, seek: Column | int, k: Column, reused: Column | None = None) -> Column:
     """What an entry costs to read, in bytes: links and errors a seek, entries that are reused nothing."""
-    cost = F.when(kind == "F", F.coalesce(F.try_add(read_bytes(n, block, k), _long(seek)), _long(MAX))).otherwise(_long(seek))
+    cost = F.when(kind == "F", _sum(read_bytes(n, block, k), _long(seek))).otherwise(_long(seek))
     return cost if reused is None else F.when(reused, _long(0)).otherwise(cost)
 
 

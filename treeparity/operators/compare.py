@@ -1,7 +1,7 @@
 """Comparison of trees and of content: full outer joins on the path under a first-match-wins order.
 
 Entries have columns path, type, size, mtime, errno; digests path, type, hash, size, errno. A
-path occurs once on a side; ``unique_paths`` asserts that. Every operator is one equi-join that
+path occurs once on a side. Every operator is one equi-join that
 Catalyst plans as a sort-merge or broadcast join; nothing here collects.
 """
 
@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import schemas
-
 _FIELDS = ["type", "size", "errno", "hash"]
 
 
@@ -100,12 +98,6 @@ def results_equal(a: str, b: str) -> Column:
     return (F.col(f"{a}.type") == F.col(f"{b}.type")) & F.when(F.col(f"{a}.type") == "E", F.col(f"{a}.errno").eqNullSafe(F.col(f"{b}.errno"))).otherwise(same)
 
 
-def unique_paths(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Paths that occur more than once; empty for a proper list."""
-    keys = keys or ["path"]
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-
-
 def to_transfer(diff: DataFrame) -> DataFrame:
     """The differences whose paths are copied again: all but EXTRA and ERR-SRC."""
     return diff.where(~F.col("status").isin("EXTRA", "ERR-SRC"))
@@ -116,5 +108,3 @@ def kinds(listing: DataFrame, mode: str = "mode") -> DataFrame:
     kind = F.expr(f"{mode} & 61440")  # the file-type bits of st_mode
     return listing.withColumn("type", F.when(kind == 0o100000, "F").when(kind == 0o120000, "L")).withColumn("ignored", ~kind.isin(0o100000, 0o120000, 0o040000))
 
-
-STATUSES = schemas.CONTENT_ORDER

@@ -9,30 +9,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..scratch import Scratch
 
 _IN_PARTITION = (1 << 33) - 1
 
 
-def with_position(spark: SparkSession, entries: DataFrame, key: str = "path", by: list[str] | None = None) -> DataFrame:
+def with_position(spark: SparkSession, entries: DataFrame, key: str = "path", by: list[str] | None = None, cost: str | None = None) -> DataFrame:
     """``entries`` with the column pos: 0, 1, 2 .. in order of ``key``, for each value of ``by`` of its own.
 
-    ``by`` names columns of few values, such as the side.
+    ``by`` names columns of few values, such as the side. With ``cost``, the column spent is the sum
+    of that column over the entries before.
     """
     by = by or []
     scratch = Scratch(spark, "order")
     placed = entries.repartitionByRange(*by, key).sortWithinPartitions(*by, key).withColumn("_at", F.monotonically_increasing_id())
     placed = scratch.table(placed, "placed").withColumn("_part", F.shiftright("_at", 33))
-    firsts = placed.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min(F.col("_at").bitwiseAND(_IN_PARTITION)).alias("_first"))
-    order = sorted(((tuple(r[b] or "" for b in by), r["_part"], r["_n"], r["_first"], [r[b] for b in by]) for r in firsts.collect()))
+    total = F.sum(cost) if cost else F.lit(0)
+    firsts = placed.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.coalesce(total, F.lit(0)).alias("_cost"), F.min(F.col("_at").bitwiseAND(_IN_PARTITION)).alias("_first"))
+    order = sorted(((tuple(r[b] or "" for b in by), r["_part"], r["_n"], r["_first"], r["_cost"], [r[b] for b in by]) for r in firsts.collect()))
     starts, seen = [], {}
-    for value, part, n, first, raw in order:  # a row for each partition and value, not for each entry
-        starts.append((part, *raw, seen.get(value, 0) - first))
-        seen[value] = seen.get(value, 0) + n
-    fields = ", ".join(["_part bigint", *[f"`{b}` {dict(placed.dtypes)[b]}" for b in by], "_start bigint"])
+    for value, part, n, first, spent, raw in order:  # a row for each partition and value, not for each entry
+        rows, costs = seen.get(value, (0, 0))
+        starts.append((part, *raw, rows - first, costs))
+        seen[value] = rows + n, min(costs + spent, (1 << 63) - 1)
+    fields = ", ".join(["_part bigint", *[f"`{b}` {dict(placed.dtypes)[b]}" for b in by], "_start bigint", "_spent bigint"])
     offsets = F.broadcast(spark.createDataFrame(starts, fields))
-    return placed.join(offsets, ["_part", *by]).withColumn("pos", F.col("_at").bitwiseAND(_IN_PARTITION) + F.col("_start")).drop("_at", "_part", "_start")
+    found = placed.join(offsets, ["_part", *by]).withColumn("pos", F.col("_at").bitwiseAND(_IN_PARTITION) + F.col("_start"))
+    if cost:
+        inside = F.sum(cost).over(Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+        found = found.withColumn("spent", F.col("_spent") + F.coalesce(inside, F.lit(0)))
+    return found.drop("_at", "_part", "_start", "_spent")
 
 
 def order_violations(lines: DataFrame, key: str = "path", by: list[str] | None = None) -> DataFrame:
@@ -48,10 +56,17 @@ def prefix(lines: DataFrame, good: str, by: list[str] | None = None) -> DataFram
     bad = lines.where(~F.coalesce(F.expr(good), F.lit(False)))
     if by:
         stop = bad.groupBy(*by).agg(F.min("pos").alias("_stop"))
-        return lines.join(F.broadcast(stop), by, "left").where("_stop is null or pos < _stop").drop("_stop")
+        return lines.join(stop, by, "left").where("_stop is null or pos < _stop").drop("_stop")
     return lines.crossJoin(bad.agg(F.min("pos").alias("_stop"))).where("_stop is null or pos < _stop").drop("_stop")
 
 
+def good_prefix(kept: DataFrame, entries: DataFrame) -> int:
+    """How many entries from the first on have exactly one row each in ``kept`` (pos)."""
+    once = kept.groupBy("pos").agg(F.count("*").alias("n")).where("n = 1")
+    stop = entries.select("pos").join(once, "pos", "left_anti").agg(F.min("pos")).first()[0]
+    return entries.count() if stop is None else stop
+
+
 def type_fits(entry: str, line: str):
     """Whether a journal line can be that of an entry: errors always, files by F or S, links by L."""
     e, j = F.col(entry), F.col(line)
@@ -77,7 +92,7 @@ def split_last(kept: DataFrame, by: list[str] | None = None) -> DataFrame:
     if not by:
         return kept.crossJoin(kept.agg(F.max("pos").alias("_last"))).withColumn("verify", F.col("pos") == F.col("_last")).drop("_last")
     last = kept.groupBy(*by).agg(F.max("pos").alias("_last"))
-    return kept.join(F.broadcast(last), by).withColumn("verify", F.col("pos") == F.col("_last")).drop("_last")
+    return kept.join(last, by).withColumn("verify", F.col("pos") == F.col("_last")).drop("_last")
 
 
 def to_read(entries: DataFrame, kept: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import digest, sampling, text
 from ..operators import compare, ordered, recheck, report
+from ..scratch import Scratch
 from . import pairs
 from .pairs import pair_sql, table
 
@@ -65,11 +66,11 @@ def status_counts(spark, d):
 
 def _facts_of(counts: DataFrame) -> DataFrame:
     total = sum((F.col(f"`{s}`") for s in schemas.CONTENT_ORDER), F.lit(0))
-    return counts.select("dest", F.lit(False).alias("failed"), (F.col("dest") == "destination-2").alias("tree_differs"), (F.col("`ERR-SRC`") + F.col("`ERR-DST`")).alias("errors"), total.alias("differences"))
+    return counts.select("dest", (F.col("dest") == "destination-3").alias("failed"), (F.col("dest") == "destination-2").alias("tree_differs"), (F.col("`ERR-SRC`") + F.col("`ERR-DST`")).alias("errors"), total.alias("differences"))
 
 
 @query(
-    f"WITH {pair_sql()}, x AS (SELECT dest, CASE WHEN dest = 'destination-2' THEN 4 WHEN count(*) FILTER (WHERE status IN ('ERR-SRC', 'ERR-DST')) > 0 THEN 3 WHEN count(status) > 0 THEN 1 ELSE 0 END AS status FROM j GROUP BY dest) "
+    f"WITH {pair_sql()}, x AS (SELECT dest, CASE WHEN dest = 'destination-3' THEN 2 WHEN dest = 'destination-2' THEN 4 WHEN count(*) FILTER (WHERE status IN ('ERR-SRC', 'ERR-DST')) > 0 THEN 3 WHEN count(status) > 0 THEN 1 ELSE 0 END AS status FROM j GROUP BY dest) "
     "SELECT dest, status, (SELECT max_by(status, CASE status WHEN 2 THEN 4 WHEN 4 THEN 3 WHEN 3 THEN 2 ELSE status END) FROM x) AS run_status FROM x"
 )
 def exit_status(spark, d):
@@ -102,13 +103,17 @@ def tree_changes(spark, d):
 
 
 @query(
-    "WITH a AS (SELECT row_number() OVER (ORDER BY path) - 1 AS pos, * FROM (SELECT source || '/' || doc_id AS path, text FROM documents WHERE doc_id % 3 = 0)), "
-    "b AS (SELECT row_number() OVER (ORDER BY path) - 1 AS pos, * FROM (SELECT source || '/' || doc_id AS path, text FROM documents WHERE doc_id % 3 = 1)) "
+    "WITH a AS (SELECT row_number() OVER (ORDER BY path) - 1 AS pos, * FROM (SELECT source || '/' || doc_id AS path, text FROM documents)), "
+    "b AS (SELECT row_number() OVER (ORDER BY path) - 1 AS pos, * FROM (SELECT source || '/' || doc_id || '.copy' AS path, CASE doc_id % 50 WHEN 1 THEN '#' || substr(text, 2) WHEN 2 THEN text || 'x' ELSE text END AS text FROM documents)) "
     "SELECT a.pos, a.path, CASE WHEN octet_length(encode(a.text)) <> octet_length(encode(b.text)) THEN 'SIZE' ELSE 'HASH' END AS status, md5(a.text) AS origin_hash, md5(b.text) AS dest_hash FROM a JOIN b ON a.pos = b.pos WHERE a.text <> b.text"
 )
 def positional_diff(spark, d):
-    docs = pairs.source(spark, d).select("doc_id", "path", F.lit("F").alias("type"), F.octet_length("text").cast("bigint").alias("size"), F.lit(None).cast("int").alias("errno"), digest.full_digest(F.col("text")).alias("hash"))
-    a, b = (ordered.with_position(spark, docs.where(F.col("doc_id") % 3 == i)) for i in (0, 1))
+    docs = pairs.source(spark, d)
+    slot = F.col("doc_id") % 50
+    edited = F.when(slot == 1, F.concat(F.lit("#"), F.expr("substring(text, 2)"))).when(slot == 2, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    facts = [F.lit("F").alias("type"), F.octet_length("text").cast("bigint").alias("size"), F.lit(None).cast("int").alias("errno"), digest.full_digest(F.col("text")).alias("hash")]
+    copy = docs.withColumns({"path": F.concat("path", F.lit(".copy")), "text": edited})
+    a, b = (ordered.with_position(spark, x.select("path", *facts)) for x in (docs, copy))
     return compare.compare_positional(a, b)
 
 
@@ -297,6 +302,11 @@ def throughput(spark, d):
 _SETS = "sets AS (SELECT DISTINCT dest, path FROM j WHERE status IS NOT NULL AND status <> 'EXTRA')"
 
 
+def _sets(spark, d):
+    """The sets of the first comparison, written once and read by each use."""
+    return Scratch(spark, "sets").table(recheck.recheck_sets(_star(spark, d)), "sets")
+
+
 @query(f"WITH {pair_sql()}, {_SETS} SELECT dest, path FROM sets")
 def recheck_set(spark, d):
     return recheck.recheck_sets(_star(spark, d))
@@ -315,7 +325,7 @@ def recheck_filter(spark, d):
 
 @query(f"WITH {pair_sql()}, {_SETS}, {pair_sql(1, '2')} SELECT j2.dest, j2.path, j2.status FROM j2 JOIN sets ON j2.dest = sets.dest AND j2.path = sets.path WHERE j2.status IS NOT NULL")
 def recheck_compare(spark, d):
-    return recheck.only_own(_star(spark, d, 1), recheck.recheck_sets(_star(spark, d))).select("dest", "path", "status")
+    return recheck.only_own(_star(spark, d, 1), _sets(spark, d)).select("dest", "path", "status")
 
 
 @query(f"WITH {pair_sql()}, {_SETS} SELECT DISTINCT path FROM sets WHERE path NOT IN (SELECT path FROM src WHERE doc_id % 3 <> 0)")

@@ -1,13 +1,7 @@
-"""Schemas of the relations that the operators take and give."""
+"""Statuses of differences."""
 
 from __future__ import annotations
 
-ENTRIES = "side string, path binary, type string, size bigint, mtime bigint, errno int, ino bigint"
-DIGESTS = "side string, path binary, type string, hash string, size bigint, errno int, samples bigint, bytes_read bigint"
-TREE_DIFF = "dest string, section string, status string, path binary"
-DIFF = "dest string, status string, origin_hash string, dest_hash string, path binary"
-CHANGES = "side string, status string, path binary"
-
 # Statuses in the order of reports on trees and on content.
 TREE_ORDER = ["MISSING", "EXTRA", "SIZE", "TYPE", "ERR-SRC", "ERR-DST"]
 CONTENT_ORDER = ["HASH", *TREE_ORDER]
