@@ -7,7 +7,7 @@ end at a minimum, which is one aggregate. So no task ever holds a list.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,6 +43,11 @@ def with_position(spark: SparkSession, entries: DataFrame, key: str = "path", by
     return found.drop("_at", "_part", "_start", "_spent")
 
 
+def chunk_of(spent: Column, target: int) -> Column:
+    """Number of the chunk that an entry falls into, by what the entries before it cost."""
+    return F.call_function("div", spent, F.lit(max(1, target)).cast("bigint"))
+
+
 def order_violations(lines: DataFrame, key: str = "path", by: list[str] | None = None) -> DataFrame:
     """Lines (pos, key) whose key is not greater than that of the line before; empty for a proper list."""
     by = by or []

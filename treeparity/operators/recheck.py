@@ -32,6 +32,12 @@ def gone(sets: DataFrame, entries: DataFrame) -> DataFrame:
     return recheck_union(sets).join(entries.select("path"), "path", "left_anti")
 
 
+def first_seen(rows: DataFrame, sides: list[str]) -> DataFrame:
+    """(side, path) of each path under the first of ``sides``, in their order, that has it."""
+    rank = F.array_position(F.array(*map(F.lit, sides)), F.col("side"))
+    return rows.groupBy("path").agg(F.min_by("side", rank).alias("side")).select("side", "path")
+
+
 def run_state(sides: DataFrame, by: list[str] | None = None) -> DataFrame:
     """State of a previous run from one row a side (has_run, has_hashes, finished, differs)."""
     facts = sides.groupBy(*(by or [])).agg(F.bool_or("has_run").alias("run"), F.bool_or("has_hashes").alias("hashes"), F.bool_and("finished").alias("finished"), F.bool_or("differs").alias("differs"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import text
 
 #: Statuses a destination may end with, the most severe last.
 SEVERITY = [0, 1, 3, 4, 2]
@@ -69,6 +70,11 @@ def suggest_flags(counts: DataFrame) -> DataFrame:
     return counts.select("dest", F.when(any_change, F.when(F.col("EXTRA") > 0, "rsync -a --delete-after").otherwise("rsync -a")).alias("command"))
 
 
+def content_command(listed: Column, origin: Column, dest: Column) -> Column:
+    """The command that copies the paths of a list file again."""
+    return F.concat(F.lit("rsync -a -I --from0 --files-from="), text.shell_quote(listed), F.lit(" "), text.shell_quote(origin), F.lit(" "), text.shell_quote(dest))
+
+
 def human_bytes(v: int) -> str:
     """One decimal, cut off; the driver's twin of the column function."""
     units, u, rest = ["B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB"], 0, 0

@@ -11,6 +11,7 @@ from .. import schemas
 from ..functions import digest, sampling, text
 from ..operators import compare, ordered, recheck, report
 from ..scratch import Scratch
+from ..sources import lines
 from . import pairs
 from .pairs import pair_sql, table
 
@@ -411,6 +412,73 @@ def archive_name(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.archive_name(started).alias("name"))
 
 
+# Lines of lists, headers and commands.
+
+
+@query(
+    f"WITH {pair_sql()}, e AS (SELECT path, type, size, errno, hash FROM o) SELECT path, "
+    "CASE WHEN type = 'E' THEN concat_ws(' ', 'E', errno, '-', path) ELSE concat_ws(' ', type, size, octet_length(encode(path)), path) END AS tree_line, "
+    "CASE WHEN type = 'E' THEN concat_ws(' ', 'E', errno, '-', path) ELSE concat_ws(' ', type, hash, size, path) END AS hash_line FROM e"
+)
+def list_lines(spark, d):
+    rows = pairs.origin(spark, d).withColumn("mtime", F.octet_length("path")).withColumn("name", F.col("path").cast("binary"))
+    return rows.select("path", lines.tree_line("name").cast("string").alias("tree_line"), lines.hash_line("name").cast("string").alias("hash_line"))
+
+
+@query(f"WITH {pair_sql()} SELECT dest, path, concat_ws(' ', status, CASE WHEN ot IS NULL THEN '-' WHEN ot = 'E' THEN CAST(oe AS VARCHAR) ELSE oh END, CASE WHEN dt IS NULL THEN '-' WHEN dt = 'E' THEN CAST(de AS VARCHAR) ELSE dh END, path) AS line, status || ' ' || path AS short FROM j WHERE status IS NOT NULL")
+def diff_lines(spark, d):
+    rows = _star(spark, d).withColumn("name", F.col("path").cast("binary"))
+    return rows.select("dest", "path", lines.diff_line("name").cast("string").alias("line"), lines.status_line("name").cast("string").alias("short"))
+
+
+@query("SELECT page_id, regexp_replace(url, '/$', '') || '/' || page_id AS joined, 'page' || CASE WHEN page_id % 3 = 1 THEN '' ELSE 's' END AS counted FROM pages")
+def join_paths(spark, d):
+    p = table(spark, d, "pages")
+    return p.select("page_id", text.join_path(F.col("url"), F.col("page_id").cast("string")).alias("joined"), F.concat(F.lit("page"), text.plural(F.col("page_id") % 3)).alias("counted"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN CAST(event_id AS VARCHAR) END AS value FROM events")
+def header_values(spark, d):
+    line = F.concat(F.lit("# "), "event_type", F.lit(": "), F.col("event_id").cast("string"))
+    return table(spark, d, "events").select("event_id", text.header_value(line, "click").alias("value"))
+
+
+@query(
+    f"WITH {pair_sql()} SELECT a.path, a.type = b.type AND CASE WHEN a.type = 'E' THEN a.errno IS NOT DISTINCT FROM b.errno ELSE a.size IS NOT DISTINCT FROM b.size AND a.hash IS NOT DISTINCT FROM b.hash END AS same "
+    "FROM o a JOIN d b ON a.path = b.path AND b.dest = 'destination-1'"
+)
+def results_equal(spark, d):
+    cols = ["type", "size", "errno", "hash"]
+    a = pairs.origin(spark, d).select("path", F.struct(*cols).alias("a"))
+    b = pairs.destination(spark, d).select("path", F.struct(*cols).alias("b"))
+    return a.join(b, "path").select("path", compare.results_equal("a", "b").alias("same"))
+
+
+@query(
+    "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'full' ELSE 'fast gap=' || p_partkey || ' block=65536 profile=ssd seek_bytes=200000' END AS mode, "
+    r"'rsync -a -I --from0 --files-from=''' || replace(p_name, '''', '''\''''') || ''' ''/o/'' ''/d/''' AS command FROM part"
+)
+def content_commands(spark, d):
+    p = table(spark, d, "part")
+    fast = F.format_string(sampling.mode_line(True, 0, 65536, "ssd", 200_000).replace("gap=0", "gap=%d"), "p_partkey")
+    return p.select("p_partkey", F.when(F.col("p_size") % 2 == 0, sampling.mode_line(False)).otherwise(fast).alias("mode"), report.content_command(F.col("p_name"), F.lit("/o/"), F.lit("/d/")).alias("command"))
+
+
+@query("SELECT side, path FROM (SELECT l_returnflag AS side, l_suppkey AS path, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE l_returnflag WHEN 'R' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) AS r FROM lineitem) WHERE r = 1")
+def first_seen(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("side"), F.col("l_suppkey").alias("path"))
+    return recheck.first_seen(rows, ["R", "N", "A"])
+
+
+@query(
+    f"WITH {_EVENTS}, n AS (SELECT side, path, event_id % 7 + 1 AS cost, row_number() OVER (PARTITION BY side ORDER BY path) - 1 AS pos FROM e), s AS (SELECT *, sum(cost) OVER (PARTITION BY side ORDER BY path) - cost AS spent FROM n) "
+    "SELECT side, path, pos, CAST(spent // 100 AS BIGINT) AS chunk FROM s"
+)
+def cost_chunks(spark, d):
+    costly = table(spark, d, "events").select(F.col("event_type").alias("side"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("path"), (F.col("event_id") % 7 + 1).alias("cost"))
+    return ordered.with_position(spark, costly, by=["side"], cost="cost").select("side", "path", "pos", ordered.chunk_of(F.col("spent"), 100).alias("chunk"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
