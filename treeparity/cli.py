@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import re
+import signal
 import sys
+import threading
 
 from . import __version__
 
@@ -42,6 +44,17 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _ended(number, frame):
+    raise SystemExit(128 + number)
+
+
+def _ask(state: str) -> str | None:
+    """What to do about results of an earlier run, asked for on the terminal."""
+    ways = {"f": "force"} | ({"r": "resume"} if state == "INTERRUPTED" else {"c": "recheck"} if state == "FINISHED_DIFF" else {})
+    shown = ", ".join(f"{k} ({v})" for k, v in ways.items())
+    return ways.get(input(f"There are results of a run in state {state}: {shown}, or nothing to leave them? ").strip().lower())
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     p = parser()
     a = p.parse_args(argv)
@@ -57,11 +70,28 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from .plans.store import Locked
 
     spark = spark or SparkSession.builder.appName("treeparity").getOrCreate()
+    progress = None if a.quiet else lambda line: print(line, file=sys.stderr, flush=True)
+
+    def compare(on_existing):
+        return run_comparison(spark, a.origin, a.destinations, a.output, a.file, a.fast, a.gap, a.block, a.profile, a.one_file_system, on_existing=on_existing, parallelism=1 if a.serial else a.jobs, ignore_lock=a.ignore_lock, progress=progress)
+
+    if threading.current_thread() is threading.main_thread():
+        signal.signal(signal.SIGTERM, _ended)
     try:
-        result = run_comparison(spark, a.origin, a.destinations, a.output, a.file, a.fast, a.gap, a.block, a.profile, a.one_file_system, on_existing=a.on_existing, parallelism=1 if a.serial else a.jobs, ignore_lock=a.ignore_lock)
-    except (Refused, Locked, OSError) as e:
+        try:
+            result = compare(a.on_existing)
+        except Refused as e:
+            if not e.state or a.on_existing or not sys.stdin.isatty():
+                raise
+            result = compare(_ask(e.state))
+    except KeyboardInterrupt:
+        return 128 + signal.SIGINT
+    except (Refused, Locked) as e:
         print(f"treeparity: {e}", file=sys.stderr)
         return 2
+    except Exception as e:  # whatever Spark, a task or the file system raised: no verdict on the content
+        print(f"treeparity: failed: {e}", file=sys.stderr)
+        return 2
     if not a.quiet:
         print("\n".join(result.summary))
         for dest, command in result.commands.items():

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import datetime
+import errno
 import fcntl
 import json
 import os
 import shutil
+import struct
+import uuid
 from dataclasses import asdict, dataclass, field
+from urllib.parse import quote
 
 NAME = "results.treeparity"
 # What a run leaves and what starting over removes; history and archives stay.
-TABLES = ("trees", "digests", "tree_diff", "diff", "changes")
-FILES = ("run.json", "summary.txt")
+TABLES = ("trees", "trees-now", "placed", "digests", "tree_diff", "diff", "changes")
+FILES = ("run.json", "summary.txt", "tree-changes.txt")
+PREFIXES = ("transfer-", "command-", "tree-origin", "tree-destination", "tree-diff-", "hashes-", "diff-")
 
 
 @dataclass
@@ -25,6 +30,7 @@ class Run:
     roots: dict[str, str]
     recheck_of: str | None = None
     gate: dict[str, dict[str, int]] = field(default_factory=dict)
+    journal: dict[str, list[str]] = field(default_factory=dict)
     finished: bool = False
     differs: bool = False
 
@@ -51,14 +57,32 @@ class Store:
     def path(self, *parts: str) -> str:
         return os.path.join(self.root, *parts)
 
-    def lock(self, ignore: bool = False) -> None:
-        self._lock = open(self.path("lock"), "a+")  # noqa: SIM115  held for the run's life
+    def uri(self, *parts: str) -> str:
+        """The path for Spark, which takes one without a scheme as its default file system's."""
+        return "file://" + quote(os.path.abspath(self.path(*parts)))
+
+    def lock(self, ignore: bool = False) -> str | None:
+        """Hold the directory for the life of the run; a warning where it cannot be held."""
+        self._lock = open(self.path("lock"), "a+")  # noqa: SIM115
         try:
             fcntl.lockf(self._lock, fcntl.LOCK_EX | fcntl.LOCK_NB)
-        except BlockingIOError as e:
+        except OSError as e:
+            if e.errno not in (errno.EACCES, errno.EAGAIN):
+                return f"'{self.root}' is not locked, as its file system has no locks: {e.strerror}"
             if not ignore:
-                self._lock.close()
-                raise Locked(f"another run works in '{self.root}'") from e
+                holder = self.holder()
+                self.unlock()
+                raise Locked(f"another run works in '{self.root}'" + (f", process {holder}" if holder else "")) from e
+        return None
+
+    def holder(self) -> int | None:
+        """The process that holds the lock, if it is on this machine."""
+        asked = struct.pack("hhqqi4x", fcntl.F_WRLCK, 0, 0, 0, 0)
+        try:
+            kind, _, _, _, pid = struct.unpack("hhqqi4x", fcntl.fcntl(self._lock, fcntl.F_GETLK, asked))
+        except (OSError, struct.error):
+            return None
+        return pid if kind != fcntl.F_UNLCK and pid > 0 else None
 
     def unlock(self) -> None:
         if self._lock:
@@ -92,12 +116,12 @@ class Store:
         if run is None:
             return "FRESH"
         if not run.finished:
-            return "INTERRUPTED" if os.path.isdir(self.path("digests")) else "FRESH"
+            return "INTERRUPTED" if run.journal else "FRESH"
         return "FINISHED_DIFF" if run.differs else "FINISHED_CLEAN"
 
     def _own(self) -> list[str]:
         names = os.listdir(self.root)
-        return [n for n in names if n in TABLES + FILES or n.startswith(("transfer-", "command-"))]
+        return [n for n in names if n in TABLES + FILES or n.startswith(PREFIXES)]
 
     def clean(self) -> None:
         for n in self._own():
@@ -119,17 +143,10 @@ class Store:
             return name
         raise RuntimeError(f"too many archives named '{base}'")
 
-    # The journal: a directory for each finished chunk; Spark's marker in it is the commit.
-
-    def chunks(self, side: str) -> int:
-        """Number of chunks of a side that are finished, without a hole."""
-        n = 0
-        while os.path.exists(self.path("digests", side, f"chunk-{n:06d}", "_SUCCESS")):
-            n += 1
-        return n
-
-    def chunk(self, side: str, n: int) -> str:
-        return self.path("digests", side, f"chunk-{n:06d}")
+    def new_chunk(self, side: str) -> str:
+        """A name for a chunk of a journal; the run's record says which chunks count."""
+        os.makedirs(self.path("digests", side), exist_ok=True)
+        return f"chunk-{len(os.listdir(self.path('digests', side))):06d}-{uuid.uuid4().hex[:8]}"
 
 
 def now() -> str:
