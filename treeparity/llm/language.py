@@ -219,33 +219,35 @@ class Model:
     def _join(self, step, symbols, size, before, state, n, states, sums) -> None:
         """Parse segments again that the one before does not end in front of a new phrase, until no end changes.
 
-        ``states`` and ``sums`` are each segment's way; where a new way meets it, the rest is known.
+        ``states`` and ``sums`` are each segment's first way; where another meets it, the rest is known.
         """
-        entry = np.full(len(before), step.between, np.int32)
+        k = len(before)
+        entry, end, total = np.full(k, step.between, np.int32), state[:k].copy(), n[:k].copy()
         while len(again := np.flatnonzero(state[before] != entry)):
             entry[again] = state[before[again]]
-            now, count = entry[again], np.zeros(len(again), np.int16)
+            now, count = entry[again], np.zeros(len(again), np.int32)
             for t in range(len(states)):
                 over = size[again] <= t
-                states[t:, again[over]], sums[t:, again[over]] = now[over], count[over]
-                again, now, count = again[~over], now[~over], count[~over]
+                if over.any():
+                    state[again[over]], n[again[over]] = now[over], count[over]
+                    again, now, count = again[~over], now[~over], count[~over]
                 if not len(again):
                     break
                 now, begins = step(now, symbols[t, again])
-                count = count - begins.astype(np.int16)
-                met = now == states[t, again]
-                gone = again[met]
-                sums[t:, gone] += (count[met] - sums[t, gone])[None, :]
-                again, now, count = again[~met], now[~met], count[~met]
-                states[t, again], sums[t, again] = now, count
-            state[: len(before)], n[: len(before)] = states[-1], sums[-1]
+                count = count - begins
+                apart = now != states[t, again]
+                gone = again[~apart]
+                state[gone], n[gone] = end[gone], count[~apart] + total[gone] - sums[t, gone]
+                again, now, count = again[apart], now[apart], count[apart]
+            state[again], n[again] = now, count
 
     def unknown(self, texts: list[np.ndarray]) -> np.ndarray:
         """Letters of each text that a language's text does not have, by language; each costs a phrase more."""
-        counts = np.array([len(t) for t in texts], np.int64)
-        owner, whole = np.repeat(np.arange(len(texts)), counts), np.concatenate([np.zeros(0, np.int32), *texts])
+        ends = np.cumsum([0] + [len(t) for t in texts])
+        whole = np.concatenate([np.zeros(0, np.int32), *texts])
         strange = [np.where(np.arange(len(local)) < self.pad, local == local[self.other], False) for local in self.local]
-        return np.stack([np.bincount(owner, x[whole], len(texts)) for x in strange], axis=1) if len(texts) else np.zeros((0, len(self.langs)))
+        sums = [np.concatenate([[0], np.cumsum(x[whole], dtype=np.int64)]) for x in strange]
+        return np.stack([np.diff(x[ends]) for x in sums], axis=1) if texts else np.zeros((0, len(self.langs)))
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
         """The language, ``und`` for texts without a letter, and a weight of evidence from 0 to 1."""
