@@ -61,15 +61,16 @@ def source_targets(sizes: DataFrame, scratch: Scratch, epochs: int = EPOCHS) ->
     return s.select("sk", "source_size", F.when(F.col("per") <= F.lit(level), most).otherwise(F.col("w") * F.lit(level)).cast("double").alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", epochs: int = EPOCHS, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target and taken (columns of these names are replaced).
 
+    ``keep`` names the other columns to return, all by default; what is not kept is not shuffled.
     Sizes are words; null and empty texts have none and nothing is taken from them. The sum of a
     source's taken is its target rounded. A null source is a source of its own. Rows are ordered
     by a key of their id and text, then id and size; rows equal in all that are interchangeable.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    own = columns.others(docs, "size", "source_size", "target", "taken")
+    own = [c for c in columns.others(docs, "size", "source_size", "target", "taken") if keep is None or c in keep]
     key = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.lit(seed))), 1, 16)
     sk = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     given = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -104,7 +105,7 @@ def mixed_rows(mixed: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op4_query(docs: DataFrame) -> DataFrame:
-    return mix_sources(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs.select("doc_id", "source", "text"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP4_SQL = r"""
