@@ -158,8 +158,30 @@ def forget(store):
     return past
 
 
-@pytest.mark.parametrize("damage", ["none", "other chunks", "cut", "hole", "foreign", "doubled", "changed last", "bad hash", "all lost"])
-def test_resumed_runs_equal_whole_ones(spark, place, damage):
+def damaged(spark, store, damage, chunks, rows, sizes):
+    """Chunks that a record may name after some harm, and how many rows of them hold."""
+    folder = lambda c: store.path("digests", "destination", c)
+    broken = f"x-{damage.replace(' ', '-')}"
+    if damage == "cut":
+        return chunks[:2], sum(sizes[:2])
+    if damage == "hole":
+        return [chunks[0], *chunks[2:]], sizes[0]
+    if damage == "foreign":
+        rows[1].withColumn("path", F.encode(F.lit("zzz"), "utf-8")).write.parquet(folder(broken))
+        return [chunks[0], broken, *chunks[2:]], sizes[0]
+    if damage == "doubled":
+        return [*chunks, chunks[1]], sizes[0]
+    if damage == "bad hash":
+        rows[2].withColumn("hash", F.lit("short")).write.parquet(folder(broken))
+        return [*chunks[:2], broken], sum(sizes[:2])
+    if damage == "changed last":
+        last = rows[1].agg(F.max("pos")).first()[0]
+        rows[1].withColumn("hash", F.when(F.col("pos") == last, "0" * 32).otherwise(F.col("hash"))).write.parquet(folder(broken))
+        return [chunks[0], broken], sum(sizes[:2]) - 1
+    return (["gone"], 0) if damage == "lost" else (chunks, 30)
+
+
+def test_resumed_runs_equal_whole_ones(spark, place):
     r = random.Random(5)
     base = {b"f%03d" % i: r.randbytes(50 + i) for i in range(30)}
     put(place / "o", base)
@@ -167,36 +189,17 @@ def test_resumed_runs_equal_whole_ones(spark, place, damage):
     whole = run(spark, place, ["d"], chunk_cost=2_000_000)
     assert whole.exit_code == 1
     store = Store(str(place / "out"))
-    past = forget(store)
-    assert len(past.journal["origin"]) > 2
-    chunks = past.journal["destination"]
-    folder = lambda c: store.path("digests", "destination", c)
-    rows = {c: spark.read.parquet(folder(c)) for c in chunks}
-    sizes = [rows[c].count() for c in chunks]
-    kept = 30
-    if damage == "cut":
-        past.journal["destination"], kept = chunks[:2], sum(sizes[:2])
-    elif damage == "hole":
-        past.journal["destination"], kept = [*chunks[:1], *chunks[2:]], sizes[0]
-    elif damage == "foreign":
-        rows[chunks[1]].withColumn("path", F.encode(F.lit("zzz"), "utf-8")).write.parquet(folder("x"))
-        past.journal["destination"], kept = [chunks[0], "x", *chunks[2:]], sizes[0]
-    elif damage == "doubled":
-        past.journal["destination"], kept = [*chunks, chunks[1]], sizes[0]
-    elif damage == "changed last":
-        rows[chunks[1]].withColumn("hash", F.lit("0" * 32)).write.parquet(folder("x"))
-        past.journal["destination"], kept = [chunks[0], "x"], sum(sizes[:2]) - 1
-    elif damage == "bad hash":
-        rows[chunks[2]].withColumn("hash", F.lit("short")).write.parquet(folder("x"))
-        past.journal["destination"], kept = [*chunks[:2], "x"], sum(sizes[:2])
-    elif damage == "all lost":
-        shutil.rmtree(store.path("digests", "destination"))
-        kept = 0
-    store.save(past)
-    again = run(spark, place, ["d"], on_existing="resume", chunk_cost=3_500_000 if damage == "other chunks" else 2_000_000)
-    assert again.reused == {"origin": 30, "destination": kept}
-    if damage != "changed last":
-        assert (again.exit_code, again.counts) == (whole.exit_code, whole.counts)
+    chunks = store.load().journal["destination"]
+    assert len(chunks) > 2
+    rows = [spark.read.parquet(store.path("digests", "destination", c)) for c in chunks]
+    sizes = [x.count() for x in rows]
+    for damage in ("none", "cut", "hole", "foreign", "doubled", "bad hash", "changed last", "lost"):
+        past = forget(store)
+        past.journal["destination"], kept = damaged(spark, store, damage, chunks, rows, sizes)
+        store.save(past)
+        again = run(spark, place, ["d"], on_existing="resume", chunk_cost=r.choice([2_000_000, 3_500_000]))
+        assert again.reused == {"origin": 30, "destination": kept}, damage
+        assert (again.exit_code, again.counts) == (whole.exit_code, whole.counts), damage
     listed = lines.read_list(spark, os.path.join(again.results, "hashes-destination.txt"), "hashes")
     assert listed.count() == 30
 
