@@ -43,7 +43,7 @@ def test_columns_of_any_name_are_kept(spark, name):
     pages = spark.createDataFrame([(i, f"http://h.com/{i}", "<p>x</p>", "2024-01-01") for i in range(6)], "page_id long, url string, html string, day string")
     added = {
         "url": lambda d: url_filters.filter_urls(d.withColumn("day", F.col("day").cast("date")), url_filters.demo_entries(d), fetched_col="day"),
-        "toxicity": lambda d: toxicity.score_toxicity(d, toxicity.Model({" some ": 1.0}, [], [0.0, 1.0, 0.0, 0.0])),
+        "toxicity": lambda d: toxicity.score_toxicity(d, toxicity.Model({" some ": 1.0}, [], [0.0, 1.0, 0.0, 0.0, 0.0, 0.0])),
         "mixing": mixing.mix_sources,
         "fingerprints": fingerprints.fingerprint_documents,
         "hits": lambda d: decontaminate.find_hits(spark, d, docs.limit(1).withColumnRenamed("doc_id", "item_id")),
@@ -54,7 +54,7 @@ def test_columns_of_any_name_are_kept(spark, name):
         "language": lambda d: language.identify_language(spark, d),
         "mixed": lambda d: mixing.mixed_rows(d.withColumns({"size": F.lit(6), "taken": F.lit(6)})),
     }[name]
-    taken = {"url": ["host", "domain", "list", "action", "blocked"], "toxicity": ["total", "hits", "n_words", "score"], "hits": ["n_words", "spans", "items"], "html": ["text"], "licenses": ["n_words", "found"]}.get(name, [])
+    taken = {"url": ["host", "domain", "list", "action", "blocked"], "toxicity": ["total", "often", "hits", "n_words", "score"], "hits": ["n_words", "spans", "items"], "html": ["text"], "licenses": ["n_words", "found"]}.get(name, [])
     df, names = crowded(pages if name in ("url", "html") else docs, *taken)
     rows = added(df).collect()
     assert len(rows) == 6
@@ -105,9 +105,27 @@ def test_folding():
 
 
 def test_lexicon_counts_and_exceptions():
-    lexicon = toxicity.Lexicon({" trash ": 2.0, " mor": 1.0, " moron ": 3.0}, [" trash can "])
-    assert lexicon.features(toxicity.fold(b"trash moron, trash can morons trashy")) == (2.0 + 3.0 + 1.0, 3, 6)
-    assert toxicity.Lexicon({}, []).features(" a b ") == (0.0, 0, 2)
+    entries = {" trash ": 2.0, " mor": 1.0, " moron ": 3.0, " moro": 9.0}
+    lexicon = toxicity.Lexicon(entries, [" trash can "], frozenset([" moro"]))
+    assert lexicon.features(toxicity.fold(b"trash moron, trash can morons trashy")) == (2.0 + 3.0 + 1.0, 0.0, 3, 6)
+    assert toxicity.Lexicon(entries, [], frozenset([" mor", " moro"])).features(" morons moros morons trash trash trash ") == (2.0 * 3, 9.0 * math.log2(3) + 9.0, 6, 6)
+    assert toxicity.Lexicon({}, []).features(" a b ") == (0.0, 0.0, 0, 2)
+
+
+def test_entries_that_clean_documents_have_now_and_then(spark):
+    r = random.Random(7)
+    docs, labels = [], []
+    for i in range(900):
+        w = ["".join(r.choice("aeiou") + r.choice("bdf") for _ in range(3)) for _ in range(40)]
+        for _ in range(4 if i % 5 == 0 else r.random() < 0.3):
+            w[r.randrange(40)] = "zorp" + r.choice("aeiou") + r.choice("bdfgklm")
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.learn(spark, d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert " zorp" in model.often
+    got = {x["doc_id"]: x["score"] >= 0.7 for x in toxicity.score_toxicity(d, model).collect()}
+    assert sum(got[i] == bool(y) for i, y in labels) / len(labels) > 0.97
 
 
 def test_toxicity_learns_and_holds_out(spark):
@@ -144,11 +162,15 @@ def brute_score(model, text):
     for term, weight in model.weights.items():
         for i in range(len(folded)):
             if folded.startswith(term, i):
-                at[i] = max(weight, at.get(i, 0.0))
+                at[i] = max((term not in model.often, weight), at.get(i, (False, 0.0)))
     for phrase in model.exceptions:
         free += [(i, i + len(phrase) - 1) for i in range(len(folded)) if folded.startswith(phrase, i)]
     at = {i: w for i, w in at.items() if not any(a <= i < b for a, b in free)}
-    x = sum(b * v for b, v in zip(model.beta, toxicity.inputs(sum(at.values()), len(at), len(folded.split())), strict=True))
+    word = lambda i: folded[i : folded.index(" ", i + 1)]
+    told = {w: sum(word(j) == w for j in at) for w in {word(i) for i in at}}
+    weight = {word(i): x for i, x in at.items()}
+    total, often = (sum(weight[w][1] * (k if sure else math.log2(1 + k)) for w, k in told.items() if weight[w][0] == sure) for sure in (True, False))
+    x = sum(b * v for b, v in zip(model.beta, toxicity.inputs(total, often, len(at), len(folded.split())), strict=True))
     return 1 / (1 + math.exp(-x))
 
 

@@ -3,7 +3,8 @@
 Folding maps look-alike letters of other scripts, accents, full-width and mathematical letters,
 digits and signs that stand for letters to one letter, and everything else to one space; i, l and
 1 are one letter. The lexicon is learned: words and word beginnings whose documents are toxic far
-more often than chance allows. Occurrences inside exception phrases (words with a neighbour that
+more often than chance allows, and those that many more of the words of toxic documents have than
+of clean ones, which now and then do by chance. Occurrences inside exception phrases (words with a neighbour that
 mostly occur in clean documents, and those given) do not count. No text is shuffled.
 """
 
@@ -32,6 +33,9 @@ PREFIXES = (4, 5, 6)
 #: Least lower bound of the share of toxic documents among those with an entry, and greatest upper bound for an exception.
 SURE, CLEAN = 0.6, 0.4
 Z = 1.64
+#: An entry that is not sure: its share of toxic documents' different words against that of clean ones', and
+#: the least lower bound (with deviations of its own) of its share of toxic documents against that of all.
+RATE, Z_RATE, SHARE = 6.0, 4.5, 1.0
 # Letters of other scripts by the Latin letter they look like.
 LOOK_ALIKES = {
     "a": "аɑαａ", "b": "Ьвβ", "c": "сϲⅽ", "d": "ԁɗдđ", "e": "еєεҽэ", "g": "ɡԍ", "h": "һнհħ", "i": "іιıɩїɪ", "j": "јϳ", "k": "кκ", "l": "łⅼӏ", "m": "мⅿ",
@@ -92,59 +96,72 @@ def fold_term(term: str) -> str:
 
 
 class Lexicon:
-    """Entries ' word ' or ' beginning' with weights, and exception phrases ' word word '."""
+    """Entries ' word ' or ' beginning' with weights, and exception phrases ' word word '.
 
-    def __init__(self, weights: dict[str, float], exceptions: list[str]):
+    Those of the entries that are named in ``often`` tell by their number only.
+    """
+
+    def __init__(self, weights: dict[str, float], exceptions: list[str], often: frozenset[str] = frozenset()):
         self.matcher = ahocorasick.Automaton()
         for term, weight in weights.items():
-            self.matcher.add_word(term, (len(term), weight))
+            self.matcher.add_word(term, (len(term), (term not in often, weight)))
         for phrase in exceptions:
             self.matcher.add_word(phrase, (len(phrase), None))
         self.empty = not len(self.matcher)
         if not self.empty:
             self.matcher.make_automaton()
 
-    def features(self, text: str) -> tuple[float, int, int]:
-        """Sum of weights, occurrences and words; the heaviest entry counts at each word."""
+    def features(self, text: str) -> tuple[float, float, int, int]:
+        """Sums of the weights of sure entries and of the others, occurrences and words.
+
+        At each word one entry counts, the heaviest sure one or else the heaviest.        Where an entry is not sure, the weight of a word that a text repeats grows with the logarithm
+        of its occurrences, so that a phrase said over and over is no evidence.
+        """
         n = text.count(" ") - 1 if len(text) > 1 else 0
         if self.empty:
-            return 0.0, 0, n
-        at: dict[int, float] = {}
+            return 0.0, 0.0, 0, n
+        at: dict[int, tuple[bool, float]] = {}
         free: list[tuple[int, int]] = []
         for end, (size, weight) in self.matcher.iter(text):
             start = end - size + 1
             if weight is None:
                 free.append((start, end))
-            elif weight > at.get(start, 0.0):
+            elif weight > at.get(start, (False, 0.0)):
                 at[start] = weight
         for a, b in free:
             for start in [s for s in at if a <= s < b]:
                 del at[start]
-        return sum(at.values()), len(at), n
+        repeats = Counter((text[start : text.find(" ", start + 1)], weight) for start, (is_sure, weight) in at.items() if not is_sure)
+        often = math.fsum(weight * math.log2(1 + k) for (_, weight), k in repeats.items())
+        return math.fsum(weight for is_sure, weight in at.values() if is_sure), often, len(at), n
 
 
-def inputs(total: float, hits: int, n: int) -> list[float]:
-    """What the score is made of: weight for the length, weight, and whether there is any."""
-    return [1.0, float(hits > 0), math.log1p(total), math.log1p(100.0 * total / (n + 20))]
+def inputs(total: float, often: float, hits: int, n: int) -> list[float]:
+    """What the score is made of: of both sums the weight and that for the length, and whether there is any sure entry."""
+    return [1.0, float(total > 0), math.log1p(total), math.log1p(100.0 * total / (n + 20)), math.log1p(often), math.log1p(100.0 * often / (n + 20))]
 
 
-def _terms(text: str) -> set[str]:
-    found = set()
-    for w in set(text.split()):
+def _terms(text: str) -> Counter:
+    """How many different words of a text have each term; the empty term stands for all of them."""
+    every = set(text.split())
+    found = Counter({"": len(every)})
+    for w in every:
         if len(w) > 2 and not w.isdigit():
-            found.add(f" {w} ")
+            found[f" {w} "] += 1
             found.update(f" {w[:k]}" for k in PREFIXES if len(w) >= k)
     return found
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each term, by label; columns label, text."""
+    """Documents with each term and their different words with it, by label; columns label, text."""
     for batch in batches:
-        toxic, clean = Counter(), Counter()
+        counts = Counter(), Counter(), Counter(), Counter()
         for label, text in zip(batch.column(0).to_pylist(), words.text_bytes(batch.column(1)), strict=True):
-            (toxic if label else clean).update(_terms(fold(text)))
-        terms = list(toxic.keys() | clean.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], names=["term", "t", "c"])
+            found, of = _terms(fold(text)), 0 if label else 1
+            counts[of].update(found.keys())
+            counts[of + 2].update(found)
+        terms = list(counts[0].keys() | counts[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)], names=["term", "t", "c", "times_t", "times_c"])
 
 
 def _count_phrases(weights: dict[str, float]):
@@ -166,28 +183,28 @@ def _count_phrases(weights: dict[str, float]):
     return count
 
 
-def _bound(sign: str) -> F.Column:
+def _bound(sign: str, z: float = Z) -> F.Column:
     """Wilson's bound of the share t / (t + c), as SQL."""
-    z2 = Z * Z
-    return F.expr(f"((t / (t + c)) + {z2 / 2} / (t + c) {sign} {Z} * sqrt((t / (t + c)) * (c / (t + c)) / (t + c) + {z2 / 4} / ((t + c) * (t + c)))) / (1 + {z2} / (t + c))")
+    z2 = z * z
+    return F.expr(f"((t / (t + c)) + {z2 / 2} / (t + c) {sign} {z} * sqrt((t / (t + c)) * (c / (t + c)) / (t + c) + {z2 / 4} / ((t + c) * (t + c)))) / (1 + {z2} / (t + c))")
 
 
-def _features(weights: dict[str, float], exceptions: list[str], text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _features(weights: dict[str, float], exceptions: list[str], often: frozenset[str], text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(weights, exceptions)
+        lexicon = Lexicon(weights, exceptions, often)
         for batch in batches:
             found = [lexicon.features(fold(t)) for t in words.text_bytes(batch.column(text_at))]
-            new = [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "total", "hits", "n_words"])
+            new = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.float64(), pa.float64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "total", "often", "hits", "n_words"])
 
     return features
 
 
 def _fit(rows: list[tuple]) -> list[float]:
-    """Logistic regression with a small penalty, by Newton's steps, on (label, total, hits, words)."""
-    x = np.array([inputs(t, h, n) for _, t, h, n in rows])
+    """Logistic regression with a small penalty, by Newton's steps, on the label and the features."""
+    x = np.array([inputs(*r[1:]) for r in rows])
     y = np.array([float(bool(r[0])) for r in rows])
-    beta, penalty = np.zeros(x.shape[1]), np.diag([1e-6, 0.05, 0.05, 0.05])
+    beta, penalty = np.zeros(x.shape[1]), np.diag([1e-6] + [0.05] * (x.shape[1] - 1))
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(beta)), x.T @ (y - p) - penalty @ beta)
@@ -198,10 +215,10 @@ def _fit(rows: list[tuple]) -> list[float]:
 
 
 class Model:
-    """Weights by entry, exception phrases, and the coefficients of the score."""
+    """Weights by entry, exception phrases, the coefficients of the score, and the entries that are not sure."""
 
-    def __init__(self, weights: dict[str, float], exceptions: list[str], beta: list[float]):
-        self.weights, self.exceptions, self.beta = weights, exceptions, beta
+    def __init__(self, weights: dict[str, float], exceptions: list[str], beta: list[float], often: frozenset[str] = frozenset()):
+        self.weights, self.exceptions, self.beta, self.often = weights, exceptions, beta, often
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) -> Model:
@@ -211,39 +228,47 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, exceptions: t
     several labels of an id the greatest counts. Of several texts of an id, that of the smallest
     hash is learned from. Without labelled rows every score is the same.
     """
-    label = F.col("toxic").cast("int")
+    label = (F.col("toxic").cast("int") > 0).cast("int")
     chosen = labels.where(~held_out() & label.isNotNull()).groupBy("doc_id").agg(F.max(label).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     scratch = Scratch(spark, "toxicity")
     chosen = F.broadcast(scratch.table(chosen, "chosen"))  # at most SAMPLE_ROWS rows of two numbers
     one = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
     rows = scratch.table(one.select("toxic", F.col("t.text").alias("text")).repartition(spark.sparkContext.defaultParallelism), "sample")
-    counted = rows.mapInArrow(_count_terms, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t > 2")
-    sure = counted.withColumn("low", _bound("-")).where(f"low >= {SURE}").collect()  # of the sample's words
-    n = {r[0]: r[1] for r in rows.groupBy(F.col("toxic") > 0).count().collect()}
+    counts = ["t", "c", "times_t", "times_c"]
+    counted = scratch.table(rows.mapInArrow(_count_terms, "term string, t long, c long, times_t long, times_c long").groupBy("term").agg(*[F.sum(c).alias(c) for c in counts]), "terms")
+    n = counted.where("term = ''").first() or dict.fromkeys(counts, 0)
+    weight = lambda t, c: F.log((F.col(t) + 0.5) / (n[t] + 1)) - F.log((F.col(c) + 0.5) / (n[c] + 1))
+    sure, rate = F.col("low") >= SURE, weight("times_t", "times_c")
+    often = (rate >= math.log(RATE)) & (_bound("-", Z_RATE) >= SHARE * n["t"] / max(n["t"] + n["c"], 1))
+    known = counted.where("term <> '' and t > 2").withColumn("low", _bound("-")).where(sure | often)
+    entries = known.select("term", "low", F.when(sure, weight("t", "c")).otherwise(rate).alias("weight")).collect()  # of the sample's words
     weights: dict[str, float] = {}
     low: dict[str, float] = {}
-    for r in sorted(sure, key=lambda r: (len(r["term"].rstrip()), r["term"])):
+    for r in sorted(entries, key=lambda r: (len(r["term"].rstrip()), r["term"])):
         term = r["term"]
         if not any(low.get(term[:k], 0.0) >= r["low"] - 0.05 for k in range(len(term))):
             low[term] = r["low"]
-            weights[term] = math.log((r["t"] + 0.5) / (n.get(True, 0) + 1)) - math.log((r["c"] + 0.5) / (n.get(False, 0) + 1))
+            weights[term] = r["weight"]
+    vague = frozenset(t for t in weights if low[t] < SURE)
     phrases = rows.mapInArrow(_count_phrases(weights), "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     free = [r["term"] for r in phrases.withColumn("high", _bound("+")).where(f"c > 2 and high <= {CLEAN}").collect()]
     free += [f" {fold_term(p)} " for p in exceptions]
-    seen = rows.mapInArrow(_features(weights, free, 1), "toxic int, text string, total double, hits long, n_words long").select(F.col("toxic").cast("int"), "total", "hits", "n_words").collect()
+    seen = rows.mapInArrow(_features(weights, free, vague, 1), "toxic int, text string, total double, often double, hits long, n_words long").select(F.col("toxic").cast("int"), "total", "often", "hits", "n_words").collect()
     scratch.drop()
-    return Model(weights, free, _fit([tuple(r) for r in seen]) if seen else [-2.0, 0.0, 0.0, 0.0])
+    return Model(weights, free, _fit([tuple(r) for r in seen]) if seen else [-2.0] + [0.0] * 5, vague)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with total, hits, n_words and score (columns of these names are replaced).
+    """Every row of ``docs`` with total, often, hits, n_words and score (columns of these names are replaced).
 
     Null and empty texts have no words and get the score of a text without any hit.
     """
-    own = columns.others(docs, "total", "hits", "n_words", "score")
-    found = columns.mapped(docs, own, _features(model.weights, model.exceptions, own.index(text_col)), "total double, hits long, n_words long")
+    own = columns.others(docs, "total", "often", "hits", "n_words", "score")
+    found = columns.mapped(docs, own, _features(model.weights, model.exceptions, model.often, own.index(text_col)), "total double, often double, hits long, n_words long")
     b = model.beta
-    x = F.lit(b[0]) + F.lit(b[1]) * (F.col("hits") > 0).cast("double") + F.lit(b[2]) * F.log1p("total") + F.lit(b[3]) * F.log1p(100.0 * F.col("total") / (F.col("n_words") + 20))
+    x = F.lit(b[0]) + F.lit(b[1]) * (F.col("total") > 0).cast("double")
+    for i, c in ((2, "total"), (4, "often")):
+        x += F.lit(b[i]) * F.log1p(c) + F.lit(b[i + 1]) * F.log1p(100.0 * F.col(c) / (F.col("n_words") + 20))
     return found.withColumn("score", 1 / (1 + F.exp(-x)))
 
 
