@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from . import words
+
 
 def others(df: DataFrame, *replaced: str) -> list[str]:
     """The columns of ``df`` that are not replaced, whatever their case."""
@@ -42,4 +44,4 @@ def mapped(df: DataFrame, names: list[str], f: Callable[[Iterator[pa.RecordBatch
     """The named columns of ``df`` and those that ``f`` adds to them, in its batches of c0, c1 .. and ``more``."""
     given, new = numbered(df, names, *more), StructType.fromDDL(added).fields
     schema = StructType([StructField(x.name, x.dataType) for x in given.schema.fields[: len(names)]] + new)
-    return given.mapInArrow(f, schema).toDF(*names, *[x.name for x in new])
+    return given.mapInArrow(words.lean(f), schema).toDF(*names, *[x.name for x in new])

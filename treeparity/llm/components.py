@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from . import words
 
 #: Edges that one task joins in its memory.
 LOCAL_EDGES = 500_000
@@ -70,7 +71,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     while True:
         parts = -(-now.count() // LOCAL_EDGES) or 1
         i += 1
-        now = scratch.table(now.coalesce(parts).mapInArrow(_local_forest, "u long, v long"), f"{name}-{i}")
+        now = scratch.table(now.coalesce(parts).mapInArrow(words.lean(_local_forest), "u long, v long"), f"{name}-{i}")
         if parts == 1 or _is_forest_of_stars(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         i += 1

@@ -161,7 +161,7 @@ def find_hits(spark: SparkSession, docs: DataFrame, items: DataFrame, text_col:
     for b in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b).collect()
         block = spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in rows])
-        now = now.mapInArrow(_scanner(uuid.uuid4().hex, block, window, own.index(text_col)), now.schema)
+        now = now.mapInArrow(words.lean(_scanner(uuid.uuid4().hex, block, window, own.index(text_col))), now.schema)
         if scratch and b < n_blocks - 1:
             now = scratch.table(now, f"block-{b}")
             if b:
@@ -206,7 +206,7 @@ def remove_hits(spark: SparkSession, docs: DataFrame, items: DataFrame, remove:
     if remove == "documents":
         return found.where(F.size("spans") == 0).select(*names).toDF(*docs.columns)
     at = docs.columns.index(text_col), len(names) + 1
-    return found.mapInArrow(_cutter(*at), found.schema).select(*names).toDF(*docs.columns)
+    return found.mapInArrow(words.lean(_cutter(*at)), found.schema).select(*names).toDF(*docs.columns)
 
 
 def op6_query(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:

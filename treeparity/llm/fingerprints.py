@@ -97,11 +97,11 @@ def similar_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     """
     scratch = Scratch(spark, "fingerprints")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    signed = scratch.table(own.mapInArrow(_sign, "doc_id long, text_key long, sketch binary"), "signed").where("sketch is not null")
+    signed = scratch.table(own.mapInArrow(words.lean(_sign), "doc_id long, text_key long, sketch binary"), "signed").where("sketch is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("f")
     nodes = signed.groupBy(F.col("text_key").alias("node")).agg(first, F.count("*").alias("copies"), F.min("sketch").alias("sketch"))
     nodes = scratch.table(nodes.select("node", F.col("f.doc_id").alias("first_id"), F.col("node").alias("text_key"), "copies", "sketch"), "nodes")
-    bands = nodes.select("node", "sketch").mapInArrow(_bands, "key long, node long")
+    bands = nodes.select("node", "sketch").mapInArrow(words.lean(_bands), "key long, node long")
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = scratch.table(bands.join(shared, "key").select("key", "node", "n"), "met")
     texts = scratch.table(near_dedup.first_texts(own, nodes.join(met.select("node").distinct(), "node", "left_semi")), "texts")
@@ -230,8 +230,8 @@ def edited_likeness(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         keys = np.sort(_sort_keys(*[seen.column(k).combine_chunks() for k in range(2)]))
         cuts = np.unique(keys[[len(keys) * i // n_groups for i in range(1, n_groups)]]) if len(keys) else cuts
     least = ids["least"] if ids["m"] == ids["n"] else None
-    dealt = own.mapInArrow(_deal(cuts, least), _DEALT).repartitionById(len(cuts) + 1, "grp")
-    return dealt.sortWithinPartitions("grp", "guest", "doc_id", "crc", "packed").mapInArrow(_neighbours, _EDITED)
+    dealt = own.mapInArrow(words.lean(_deal(cuts, least)), _DEALT).repartitionById(len(cuts) + 1, "grp")
+    return dealt.sortWithinPartitions("grp", "guest", "doc_id", "crc", "packed").mapInArrow(words.lean(_neighbours), _EDITED)
 
 
 def op5_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

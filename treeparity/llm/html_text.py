@@ -367,7 +367,7 @@ def _extract(known, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 def host_winners(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, path, blocks): each host's winning path, null if no page of it has text, and the keys of doubtful blocks that repeat."""
-    votes = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(_vote, "host string, path string, score double, block long, page long")
+    votes = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(words.lean(_vote), "host string, path string, score double, block long, page long")
     counted = votes.groupBy("host", "path", "block").agg(F.round(F.sum("score"), 3).alias("score"), F.countDistinct("page").alias("n"))
     best = F.max(F.when(F.col("path").isNotNull(), F.struct("score", F.length("path"), F.expr("path"))))
     return counted.groupBy("host").agg(best.alias("w"), F.collect_list(F.when(F.col("n") >= REPEATS, F.col("block"))).alias("blocks")).select("host", F.col("w.path").alias("path"), "blocks")

@@ -289,7 +289,7 @@ def _screen(pairs: DataFrame, nodes: DataFrame, sketch: Sketch) -> DataFrame:
     """The pairs whose sketches agree, with the number of coordinates."""
     x = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
     y = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(sketch.agreeing, "a long, b long, agree int")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(words.lean(sketch.agreeing), "a long, b long, agree int")
 
 
 def _best(pairs: DataFrame, sure: int) -> DataFrame:
@@ -333,7 +333,7 @@ def first_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     Texts are packed before they are shuffled.
     """
     first = nodes.select("node", "first_id", F.col("text_key").alias("first_key"), (F.col("copies") > 1).alias("many"))
-    rows = docs.select("doc_id", "text_key", "text").mapInArrow(_pack, "doc_id long, text_key long, packed binary")
+    rows = docs.select("doc_id", "text_key", "text").mapInArrow(words.lean(_pack), "doc_id long, text_key long, packed binary")
     found = rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")))
     return found.where("not many").select("node", "packed").unionByName(found.where("many").groupBy("node").agg(F.min("packed").alias("packed")))
 
@@ -342,7 +342,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that are links; texts: (node, packed). The side with more partners is joined last."""
     x = texts.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
     y = texts.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
-    return pairs.select("a", "b").join(x, "b").join(y, "a").select("a", "b", "pa", "pb").mapInArrow(_confirm, "a long, b long")
+    return pairs.select("a", "b").join(x, "b").join(y, "a").select("a", "b", "pa", "pb").mapInArrow(words.lean(_confirm), "a long, b long")
 
 
 def _contract(links: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -389,7 +389,7 @@ def near_duplicate_rows(spark: SparkSession, docs: DataFrame, id_col: str = "doc
     """``near_duplicates`` (see there) with text_key, xxhash64 of the text, and component, unlike in different components; null without shingles."""
     scratch = Scratch(spark, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    signed = scratch.table(docs.mapInArrow(_sign, SIGNED), "signed")
+    signed = scratch.table(docs.mapInArrow(words.lean(_sign), SIGNED), "signed")
     filled = signed.where("n_shingles > 0")
     by_id = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "sketch")
     first = filled.groupBy("node").agg(F.min(by_id).alias("f"), F.count("*").alias("copies"))

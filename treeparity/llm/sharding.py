@@ -9,7 +9,7 @@ each; no partition holds more than its share of rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +45,8 @@ def hilbert_index(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def _curve(*columns: pd.Series) -> pd.Series:
-    return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns], axis=1)))
+def _curve(source: pa.Array, lang: pa.Array, size: pa.Array, doc: pa.Array) -> pa.Array:
+    return pa.array(hilbert_index(np.stack([c.to_numpy(zero_copy_only=False) for c in (source, lang, size, doc)], axis=1)))
 
 
 def _codes(values: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -87,7 +87,7 @@ def hilbert_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, i
         codes = _codes(docs.select(of(name).alias("value")), scratch, name)
         rows = rows.join(codes, F.col(name).eqNullSafe(F.col("value")), "left").withColumnRenamed("code", f"{name}_code").drop("value", name)
     size_code = F.least(F.lit((1 << BITS) - 1), F.floor(F.log2(F.col("size")) * 8).cast("int"))
-    curve = F.pandas_udf(_curve, "long")(F.coalesce("source_code", F.lit(0)), F.coalesce("lang_code", F.lit(0)), size_code, _scaled(F.col("id"), ends[0], ends[1]))
+    curve = F.arrow_udf(_curve, "long")(F.coalesce("source_code", F.lit(0)), F.coalesce("lang_code", F.lit(0)), size_code, _scaled(F.col("id"), ends[0], ends[1]))
     rows = rows.select("row", "id", "size", "text_crc32", curve.alias("curve"))
     given = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n_partitions = max(1, min(-(-given // (32 << 20)), -(-ends[2] // 1000)))
