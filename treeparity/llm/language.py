@@ -93,16 +93,15 @@ class Dense:
     """Steps of an automaton that begins again at the root, as one table; states are row starts."""
 
     def __init__(self, following: list[dict[int, int]], width: int):
-        pad = width - 1
-        steps = np.full((len(following), width), -1, np.int32)
+        pad, between = width - 1, len(following)  # between: where a phrase is over, the next symbol begins one, whatever it is
+        restart = np.full(width, between * width, np.int32)
+        restart[list(following[0])] = [x * width for x in following[0].values()]
+        table = np.empty((between + 1, width), np.int32)
+        table[:] = ~restart
         for s, t in enumerate(following):
-            steps[s, list(t)] = list(t.values())
-        between = len(steps)  # where a phrase is over: the next symbol begins one, whatever it is
-        restart = np.where(steps[0] >= 0, steps[0], between) * width
-        table = np.where(steps >= 0, steps * width, ~restart[None, :])
-        table = np.concatenate([table, ~restart[None, :]]).astype(np.int32)
+            table[s, list(t)] = [x * width for x in t.values()]
         table[:, pad] = between * width
-        self.between, self.table = between * width, table.ravel()
+        self.between, self.table = between * width, table.reshape(-1)
 
     def __call__(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and -1 where a phrase begins, else 0."""
@@ -291,9 +290,15 @@ def sample(docs: DataFrame) -> dict[str, str]:
     return out
 
 
-@functools.lru_cache(2)
+_held: dict[tuple[tuple[str, str], ...], Model] = {}
+
+
 def _model(samples: tuple[tuple[str, str], ...]) -> Model:
-    return Model({lang: letters(text.encode()) for lang, text in samples})
+    """The model of ``samples``, made once in a worker, which holds one at a time."""
+    if samples not in _held:
+        _held.clear()
+        _held[samples] = Model({lang: letters(text.encode()) for lang, text in samples})
+    return _held[samples]
 
 
 def _identify(samples: tuple[tuple[str, str], ...], text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
